@@ -6,11 +6,17 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from tessera.llm.packing import op1_best_fit_packing
+from tessera.llm.pii import op4_pii
+from tessera.llm.quality_rules import op5_quality_rules
 from tessera.llm.token_counts import op9_token_counts
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_best_fit_packing": op1_best_fit_packing,
+        "op4_pii": op4_pii,
+        "op5_quality_rules": op5_quality_rules,
         "op9_token_counts": op9_token_counts,
     }
 
