@@ -53,13 +53,11 @@ def fold_crc(doc_id: str | Column, modulus: int) -> Column:
     return F.pmod(F.crc32(F.col(doc_id).cast("string").cast("binary")) if isinstance(doc_id, str) else F.crc32(doc_id.cast("string").cast("binary")), F.lit(modulus))
 
 
-def join_groups(rows: DataFrame, groups: DataFrame, key: str, row_id: str, salts: int) -> DataFrame:
-    """Left join of ``rows`` with one row per ``key`` of ``groups``, hot keys spread.
+def join_groups(rows: DataFrame, groups: DataFrame, key: str) -> DataFrame:
+    """Left join of ``rows`` (a written table) with one row per ``key`` of ``groups``.
 
-    ``groups`` holds only keys with several rows, so copying each of them
-    ``salts`` times is cheap; the rows of a hot key then meet their group in
-    ``salts`` tasks rather than one.
+    ``groups`` is written first.  Both sides of the join are then plain
+    exchanges, so that where it isn't a broadcast, adaptive execution can split
+    the partition of a hot key; an aggregate right below the join would forbid it.
     """
-    salted = rows.withColumn("__salt", F.pmod(F.xxhash64(row_id), F.lit(salts)).cast("int"))
-    spread = groups.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    return salted.join(spread, [key, "__salt"], "left").drop("__salt")
+    return rows.join(cut(groups, "groups"), key, "left")

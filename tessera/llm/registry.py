@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from tessera.llm import decontamination, url_filters, warc
 from tessera.llm.decontamination import op7_benchmark_decontamination
+from tessera.llm.near_dedup import op10_minhash_near_dedup
 from tessera.llm.packing import op1_best_fit_packing
 from tessera.llm.pii import op4_pii
 from tessera.llm.quality_rules import op5_quality_rules
@@ -25,6 +26,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op7_benchmark_decontamination": op7_benchmark_decontamination,
         "op8_warc": op8_warc,
         "op9_token_counts": op9_token_counts,
+        "op10_minhash_near_dedup": op10_minhash_near_dedup,
     }
 
 

@@ -22,7 +22,7 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm.common import cut, join_groups, partitions, shared_dir, table
+from tessera.llm.common import cut, join_groups, shared_dir, table
 
 #: Payloads of fewer bytes are never revisits.
 LEAST_BYTES = 0
@@ -49,7 +49,7 @@ def records(pages: DataFrame, least: int = LEAST_BYTES) -> DataFrame:
     rows = pages.select("page_id", "url", F.sha2(payload, 256).alias("digest"), base32_sha1(payload).alias("sha1"), F.octet_length(payload).cast("long").alias("payload_bytes"))
     rows = cut(rows, "captures")
     groups = rows.filter(F.col("payload_bytes") >= least).groupBy("digest").agg(F.min("page_id").alias("first_id"), F.count("*").alias("n")).filter("n > 1").drop("n")
-    joined = join_groups(rows, groups, "digest", "page_id", partitions(pages.sparkSession))
+    joined = join_groups(rows, groups, "digest")
     revisit = F.col("first_id").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("first_id"))
     return joined.withColumn("record_type", F.when(revisit, "revisit").otherwise("response")).withColumn("refers_to", F.when(revisit, F.col("first_id"))).drop("first_id")
 
