@@ -12,7 +12,9 @@ from tessera.llm.near_dedup import op10_minhash_near_dedup
 from tessera.llm.packing import op1_best_fit_packing
 from tessera.llm.pii import op4_pii
 from tessera.llm.quality_rules import op5_quality_rules
+from tessera.llm.rule_ensemble import op3_rule_ensemble
 from tessera.llm.token_counts import op9_token_counts
+from tessera.llm.toxicity import op6_toxicity
 from tessera.llm.url_filters import op2_url_filters
 from tessera.llm.warc import op8_warc
 
@@ -21,8 +23,10 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_best_fit_packing": op1_best_fit_packing,
         "op2_url_filters": op2_url_filters,
+        "op3_rule_ensemble": op3_rule_ensemble,
         "op4_pii": op4_pii,
         "op5_quality_rules": op5_quality_rules,
+        "op6_toxicity": op6_toxicity,
         "op7_benchmark_decontamination": op7_benchmark_decontamination,
         "op8_warc": op8_warc,
         "op9_token_counts": op9_token_counts,
