@@ -10,8 +10,9 @@
    maxima; blocks are scored exactly, highest bound first, until the next
    bound is under the k-th best cosine.  Nothing is skipped that could be among the k.
 4. The neighbours vote by cosine and class weight; a logistic curve, fitted on
-   the examples' votes without themselves, turns the vote into a probability.
-   The neighbours' ids and cosines are the evidence.
+   the examples' votes without themselves, turns the vote, and the number of
+   vocabulary terms it rests on, into a probability.  The neighbours' ids and
+   cosines are the evidence.
 
 The index is bounded by these parameters, whatever the corpus, and is broadcast.
 A text without a vocabulary word has no neighbours: it gets the (smoothed)
@@ -34,19 +35,23 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm.common import fold_crc, table
+from tessera.llm.common import cut, fold_crc, table
 
 FOLDS, HELD_OUT = 3, 1
 THRESHOLD = 0.7
 MAX_TOXIC, MAX_CLEAN, MAX_TERMS = 4_000, 8_000, 2_000
 #: A term of the vocabulary: in at least so many toxic rows, so much likelier in them, with such a chi-square.
-LEAST_TOXIC, LIFT, CHI_SQUARE = 3, 5.0, 15.0
+LEAST_TOXIC, LEAST_SHARE, LIFT, CHI_SQUARE = 3, 0.004, 5.0, 25.0
+#: Lengths of the word openings that are terms of their own, so that inflected and joined words count as alike.
+OPENINGS = (5, 7)
 NEIGHBOURS, BLOCK = 15, 64
 _WORD = re.compile(r"\w+")
 
 
 def words(text: str | None) -> list[str]:
-    return _WORD.findall(text.lower()) if text else []
+    """The terms of a text: its words, and the openings of longer ones, marked by "^"."""
+    found = _WORD.findall(text.lower()) if text else []
+    return found + ["^" + w[:n] for n in OPENINGS for w in found if len(w) > n]
 
 
 @dataclass
@@ -61,7 +66,7 @@ class Index:
     maxima: np.ndarray
     rows: np.ndarray
     blocks: list[np.ndarray]
-    curve: tuple[float, float] = (1.0, 0.0)
+    curve: tuple[float, float, float] = (1.0, 0.0, 0.0)
     empty_score: float = 0.5
     k: int = NEIGHBOURS
     evaluated: int = field(default=0, compare=False)
@@ -95,9 +100,10 @@ class Index:
         return best_at, best
 
     def vote(self, at: np.ndarray, cosine: np.ndarray) -> float:
-        """The share of toxic neighbours, by cosine and class weight."""
+        """The log odds of toxic neighbours, by cosine and class weight, smoothed by half a neighbour on either side."""
         w = cosine * self.weight[at]
-        return float((w * self.toxic[at]).sum() / w.sum())
+        share = float((w * self.toxic[at]).sum() / w.sum())
+        return float(np.log((share * len(at) + 0.5) / ((1 - share) * len(at) + 0.5)))
 
     def score(self, text: str | None) -> tuple[float, np.ndarray, np.ndarray]:
         """The probability of a text and its evidence."""
@@ -105,8 +111,8 @@ class Index:
         at, cosine = self.nearest(terms, weights) if len(terms) else (np.zeros(0, np.int64), np.zeros(0))
         if not len(at):
             return self.empty_score, at, cosine
-        a, b = self.curve
-        return float(1 / (1 + np.exp(-(a * self.vote(at, cosine) + b)))), self.ids[at], cosine
+        a, s, b = self.curve
+        return float(1 / (1 + np.exp(-(a * self.vote(at, cosine) + s * np.log(len(terms)) + b)))), self.ids[at], cosine
 
 
 def build_index(terms: list[str], idf: np.ndarray, examples: list[tuple[int, int, dict[int, int]]], weights: tuple[float, float], k: int = NEIGHBOURS) -> Index:
@@ -135,28 +141,36 @@ def build_index(terms: list[str], idf: np.ndarray, examples: list[tuple[int, int
     for i, v in enumerate(some):
         at, cosine = index.nearest(v[2], v[3], without=i)
         if len(at):
-            x.append(index.vote(at, cosine)), y.append(v[1]), w.append(weights[v[1]])
+            x.append((index.vote(at, cosine), np.log(len(v[2]))))
+            y.append(v[1])
+            w.append(weights[v[1]])
     for v in vectors:
         if not len(v[2]):
             blank[0] += weights[v[1]] * v[1]
             blank[1] += weights[v[1]]
-    index.empty_score = blank[0] / blank[1] if len(vectors) > len(some) else float(blank[0] / blank[1])
+    index.empty_score = float(blank[0] / blank[1])
     if x:
         index.curve = platt(np.array(x), np.array(y, float), np.array(w))
     return index
 
 
-def platt(x: np.ndarray, y: np.ndarray, w: np.ndarray) -> tuple[float, float]:
-    """Slope and intercept of a weighted logistic curve, slightly shrunk, by Newton steps; the slope is kept positive."""
-    design, beta = np.stack([x, np.ones_like(x)], 1), np.zeros(2)
-    ridge = np.diag([1e-2, 1e-6]) * w.sum() / len(w)
-    for _ in range(30):
-        p = 1 / (1 + np.exp(-np.clip(design @ beta, -30, 30)))
-        gradient = design.T @ (w * (p - y)) + ridge @ beta
-        hessian = (design * (w * p * (1 - p))[:, None]).T @ design + ridge + 1e-9 * np.eye(2)
-        step = np.linalg.solve(hessian, gradient)
-        beta -= np.clip(step, -5, 5)
-    return max(float(beta[0]), 1e-3), float(beta[1])
+def platt(x: np.ndarray, y: np.ndarray, w: np.ndarray) -> tuple[float, float, float]:
+    """Slopes and intercept of a weighted logistic curve, slightly shrunk, by Newton steps; no slope is below zero."""
+    design = np.c_[x, np.ones(len(x))]
+    free = [0, 1, 2]
+    while True:
+        d, beta = design[:, free], np.zeros(len(free))
+        ridge = np.diag([1e-3] * (len(free) - 1) + [1e-6]) * w.sum() / len(w)
+        for _ in range(50):
+            p = 1 / (1 + np.exp(-np.clip(d @ beta, -30, 30)))
+            gradient = d.T @ (w * (p - y)) + ridge @ beta
+            hessian = (d * (w * p * (1 - p))[:, None]).T @ d + ridge + 1e-9 * np.eye(len(free))
+            beta -= np.clip(np.linalg.solve(hessian, gradient), -5, 5)
+        low = [i for i, b in zip(free[:-1], beta, strict=False) if b < 0]
+        if not low:
+            out = dict(zip(free, beta, strict=True))
+            return tuple(float(out.get(i, 0.0)) for i in range(3))
+        free = [i for i in free if i not in low]
 
 
 def _sample(labels: DataFrame, toxic: int, most: int) -> DataFrame:
@@ -181,6 +195,8 @@ def train(docs: DataFrame, labels: DataFrame, max_toxic: int = MAX_TOXIC, max_cl
     # At most max_toxic + max_clean rows: safe to broadcast, so that the texts stay where they are.
     chosen = _sample(labels, 1, max_toxic).union(_sample(labels, 0, max_clean))
     sampled = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("text", F.col("toxic").cast("int").alias("toxic"), "doc_id")
+    # Copies of one text count once, or all of a copied text's words would look telling.
+    sampled = cut(sampled.dropDuplicates(["text", "toxic"]), "examples")
     n = {r["toxic"]: r["count"] for r in sampled.groupBy("toxic").count().collect()}
     n_toxic, n_clean = n.get(1, 0), n.get(0, 0)
     if not n_toxic or not n_clean:
@@ -191,7 +207,7 @@ def train(docs: DataFrame, labels: DataFrame, max_toxic: int = MAX_TOXIC, max_cl
     a, b = F.col("a").cast("double"), F.col("b").cast("double")
     total = n_toxic + n_clean
     chi = total * F.pow(a * (n_clean - b) - b * (n_toxic - a), F.lit(2)) / ((a + b) * (total - a - b + 1e-9) * n_toxic * n_clean)
-    good = counts.withColumn("chi", chi).filter((a >= LEAST_TOXIC) & (a / n_toxic > LIFT * (b + 0.5) / n_clean) & (F.col("chi") >= CHI_SQUARE))
+    good = counts.withColumn("chi", chi).filter((a >= max(LEAST_TOXIC, LEAST_SHARE * n_toxic)) & (a / n_toxic > LIFT * (b + 0.5) / n_clean) & (F.col("chi") >= CHI_SQUARE))
     terms = [r["term"] for r in good.orderBy(F.desc("chi"), "term").limit(MAX_TERMS).collect()]
 
     lookup = {t: i for i, t in enumerate(terms)}
