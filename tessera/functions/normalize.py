@@ -81,12 +81,12 @@ def percentage(raw: Column) -> Column:
 
 
 def _day(year: Column, month: Column, day: Column) -> Column:
-    return F.when(year != "", F.try_to_date(F.concat_ws("-", year, F.lpad(month, 2, "0"), F.lpad(day, 2, "0")), F.lit("yyyy-MM-dd")))
+    return F.when(year != "", F.try_to_date(F.concat_ws("-", year, F.lpad(month, 2, "0"), F.lpad(day, 2, "0")), "yyyy-MM-dd"))
 
 
 def _month_day(name: Column, year: Column, day: Column) -> Column:
     short = F.initcap(F.lower(F.substring(name, 1, 3)))
-    return F.when(year != "", F.try_to_date(F.concat_ws(" ", F.lpad(day, 2, "0"), short, year), F.lit("dd MMM yyyy")))
+    return F.when(year != "", F.try_to_date(F.concat_ws(" ", F.lpad(day, 2, "0"), short, year), "dd MMM yyyy"))
 
 
 def date_value(raw: Column) -> Column:

@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tessera.queries import plans
+from tessera.queries import functions, plans, sql
 
-PARTS = (plans,)
+PARTS = (plans, functions, sql)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
