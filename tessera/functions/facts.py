@@ -72,7 +72,7 @@ def label_before(page: Column, value: Column) -> Column:
     """The label that stands before "label: value" on a page, or null."""
     # A value is taken literally: its own end marks are split.
     quoted = F.concat(F.lit(r"\Q"), F.replace(value, F.lit(r"\E"), F.lit(r"\E\\E\Q")), F.lit(r"\E"))
-    return F.nullif(F.regexp_extract(page, F.concat(F.lit(r"(?i)([^\n:]+):\s*"), quoted), 1), F.lit(""))
+    return F.nullif(F.call_function("regexp_extract", page, F.concat(F.lit(r"(?i)([^\n:]+):\s*"), quoted), F.lit(1)), F.lit(""))
 
 
 def coerce_number(answer: Column) -> Column:

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Logical plans that change something or name files; a query may hold none.
-FORBIDDEN = ("Command", "InsertInto", "CreateTable", "CreateView", "DropTable", "CacheTable", "UnresolvedRelation [parquet", "UnresolvedRelation [csv", "UnresolvedRelation [json", "UnresolvedRelation [text", "UnresolvedRelation [orc", "UnresolvedRelation [binaryFile")
+FORBIDDEN = ("Command", "InsertInto", "UpdateTable", "DeleteFromTable", "MergeIntoTable", "CreateTable", "CreateView", "DropTable", "CacheTable", "UnresolvedRelation [parquet", "UnresolvedRelation [csv", "UnresolvedRelation [json", "UnresolvedRelation [text", "UnresolvedRelation [orc", "UnresolvedRelation [binaryFile")
 
 
 class NotASelect(ValueError):
