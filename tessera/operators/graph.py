@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from tessera.functions.facts import stable_hex
 from tessera.functions.text import normalize_text
+from tessera.sources.scratch import cut
 
 
 def entity_nodes(rows: DataFrame) -> DataFrame:
@@ -52,7 +53,7 @@ def k_hop(edges: DataFrame, start: DataFrame, hops: int = 2) -> DataFrame:
     frontier = seen
     for depth in range(1, hops + 1):
         reached = frontier.join(step, frontier["entity_id"] == step["subject_id"]).select(F.col("object_id").alias("entity_id")).distinct()
-        frontier = reached.join(seen, "entity_id", "left_anti").withColumn("depth", F.lit(depth)).checkpoint()
+        frontier = cut(reached.join(seen, "entity_id", "left_anti").withColumn("depth", F.lit(depth)), "frontier")
         seen = seen.union(frontier)
     return seen
 
@@ -71,7 +72,7 @@ def shortest_path(edges: DataFrame, start: str, end: str, most: int = 16) -> Dat
         if hit.limit(1).count():
             return hit.select("path", (F.size("path") - 1).alias("length"))
         found = front.join(step, F.col("node") == F.col("subject_id")).groupBy("object_id").agg(F.min(F.concat("path", F.array("object_id"))).alias("path"))
-        front = found.select(F.col("object_id").alias("node"), "path").join(seen, "node", "left_anti").checkpoint()
+        front = cut(found.select(F.col("object_id").alias("node"), "path").join(seen, "node", "left_anti"), "front")
         if not front.limit(1).count():
             break
         seen = seen.union(front.select("node"))

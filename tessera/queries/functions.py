@@ -202,6 +202,12 @@ def rank_desc(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {f.__name__: f for f in (normalize_money, normalize_date, normalize_percent, normalize_unit, infer, header_predicate, text_normalize, exact_lookup, fuzzy_ratio, fuzzy_topk, predicate_match, hash_embedding, cosine_topk, hybrid_topk, resolve_status, resolve_or_create, k_hop, shortest_path, graph_counts, upsert_latest, incremental_new, conflicts, stable_id, fingerprint, report_counts, type_histogram, shape_score, column_index, token_coverage, chunk_batches, rank_desc)}
 
 _NORMAL = r"trim(regexp_replace(lower({}), '[^\p{{L}}\p{{N}}]+', ' ', 'g'))"
+_LCS = (
+    "list_reduce(list_prepend(list_transform(range(0, len({b}) + 1), lambda z: 0::BIGINT), list_transform(string_split({a}, ''), lambda s: [unicode(s)::BIGINT])), "
+    "lambda row, c: list_reduce(list_prepend([0::BIGINT], list_transform(range(1, len({b}) + 1), lambda j: [j::BIGINT])), "
+    "lambda acc, x: list_append(acc, CASE WHEN unicode({b}[x[1]]) = c[1] THEN row[x[1]] + 1 ELSE greatest(row[x[1] + 1], acc[-1]) END)))[-1]"
+)
+_SORTED = "array_to_string(list_sort(string_split(" + _NORMAL.format("p_name") + ", ' ')), ' ')"
 _MONEY_STATUS = "CASE WHEN o_orderkey % 6 = 5 THEN 'failed' ELSE 'valid' END"
 _FACTOR = "CASE o_orderkey % 6 WHEN 1 THEN 10000000 WHEN 3 THEN 100000 WHEN 4 THEN 10000000 ELSE 1 END"
 _CODE = "['sqm', 'sqm', 'km', 'days', 'months', 'years', 'lakh', 'crore', 'crore', NULL]"
@@ -219,6 +225,11 @@ FROM orders GROUP BY ALL""",
     "header_predicate": "SELECT ['contract_value', 'amount', 'rate', 'quantity', 'item_number', 'description', 'date', 'unit', NULL][p_partkey % 9 + 1] AS predicate, count(*) AS n FROM part GROUP BY ALL",
     "text_normalize": f"SELECT doc_id, md5({_NORMAL.format('text')}) AS digest FROM documents",
     "exact_lookup": f"SELECT min(doc_id) AS first_id, count(*) AS n FROM documents GROUP BY {_NORMAL.format('text')} HAVING count(*) > 1",
+    "fuzzy_ratio": f"WITH n AS (SELECT DISTINCT p_name FROM part), p AS (SELECT x.p_name AS a, y.p_name AS b FROM n x JOIN n y ON x.p_name < y.p_name) SELECT a, b, round(200.0::DOUBLE * {_LCS.format(a='a', b='b')} / (len(a) + len(b)), 6) AS ratio FROM p",
+    "fuzzy_topk": f"""
+WITH n AS (SELECT DISTINCT p_name, {_SORTED} AS k, 'green small wdget' AS q FROM part),
+r AS (SELECT p_name, round(200.0::DOUBLE * {_LCS.format(a='k', b='q')} / (len(k) + len(q)), 6) AS score FROM n)
+SELECT p_partkey AS source_id, p_name AS text, score FROM part JOIN r USING (p_name) WHERE score >= 30 ORDER BY score DESC, p_partkey LIMIT 10""",
     "hash_embedding": """
 WITH t AS (SELECT DISTINCT p_name, sha256(p_name || ':0') || sha256(p_name || ':1') AS h FROM part),
 r AS (SELECT p_name, i, ('0x' || substr(h, i * 8 + 1, 8))::BIGINT / 4294967295.0::DOUBLE * 2.0 - 1.0 AS x FROM t, range(16) AS s(i))

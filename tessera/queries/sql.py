@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from tessera.kg import table
 from tessera.plans import sql
+from tessera.sources.scratch import folder
 from tessera.streaming import ingest
 
 TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "labels", "conversations")
@@ -89,7 +90,7 @@ def session_window(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def stream_ingest(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Events streamed into a keyed table, twice over one checkpoint: the second run finds nothing new."""
-    root = f"{ingest.scratch(spark)}/stream-{uuid.uuid4().hex}"
+    root = f"{folder(spark)}/stream-{uuid.uuid4().hex}"
     for _ in range(2):
         ingest.ingest_events(spark, f"{sf_dir}/events.parquet", root)
     return ingest.keyed_table(spark, root).groupBy("event_type").agg(F.count("*").alias("n"))

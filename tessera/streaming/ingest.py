@@ -8,17 +8,6 @@ from pyspark.sql import functions as F
 from tessera.sources.readers import exists
 
 
-def scratch(spark: SparkSession) -> str:
-    """The cluster's shared folder, or one of our own where none is set."""
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        import tempfile
-
-        folder = tempfile.mkdtemp(prefix="tessera-")
-        spark.conf.set("spark.checkpoint.dir", folder)
-    return f"{folder.rstrip('/')}/tessera"
-
-
 def stream_parquet(spark: SparkSession, path: str, schema: str | None = None) -> DataFrame:
     """A stream of Parquet files; a single file is a stream of one."""
     schema = spark.read.parquet(path).schema if schema is None else schema
