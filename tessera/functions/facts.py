@@ -6,6 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from tessera.functions import normalize
+from tessera.functions.bind import let
 
 #: Words in a header and the predicate they mean, in the order they are tried.
 HEADERS = (
@@ -54,18 +55,21 @@ def row_number(address: Column) -> Column:
 def header_predicate(header: Column) -> Column:
     """What the values under a header mean, or null."""
     text = F.trim(F.regexp_replace(F.regexp_replace(F.lower(header), r"[()%₹,.]", ""), r"\s+", " "))
-    rules = [F.when(F.greatest(*[text.contains(w).cast("int") for w in (*words, words[0])]) == 1, F.lit(name)) for name, words in HEADERS]
-    return F.coalesce(*rules)
+    return let(text, lambda t: F.coalesce(*[F.when(F.greatest(*[t.contains(w).cast("int") for w in (*words, words[0])]) == 1, F.lit(name)) for name, words in HEADERS]))
 
 
 def predicate_accepts(predicate: Column, raw: Column) -> Column:
     """Does a value have a type that its predicate takes?"""
     kind = normalize.infer(raw)["type"]
-    kind = F.when(kind.isNotNull(), kind).when(F.trim(raw) != "", F.lit("text"))
-    rule = F.when(predicate == "computed_value", raw.isNotNull())
-    for name, kinds in ACCEPTS.items():
-        rule = rule.when(predicate == name, kind.isin(*kinds))
-    return F.coalesce(rule, F.lit(False))
+
+    def accepts(v: Column) -> Column:
+        shown = F.when(v["kind"].isNotNull(), v["kind"]).when(F.trim(v["raw"]) != "", F.lit("text"))
+        rule = F.when(v["predicate"] == "computed_value", v["raw"].isNotNull())
+        for name, kinds in ACCEPTS.items():
+            rule = rule.when(v["predicate"] == name, shown.isin(*kinds))
+        return F.coalesce(rule, F.lit(False))
+
+    return let(F.struct(kind.alias("kind"), raw.alias("raw"), predicate.alias("predicate")), accepts)
 
 
 def label_before(page: Column, value: Column) -> Column:

@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from tessera.functions.bind import let
+
 MONEY = "decimal(38,6)"
 #: Spellings and their factors, in the order they are tried.
 FACTORS = (
@@ -42,7 +44,7 @@ def _clean(raw: Column) -> Column:
 def decimal(text: Column) -> Column:
     """A plain number without grouping commas, or null."""
     plain = F.trim(F.regexp_replace(_clean(text), ",", ""))
-    return F.when(plain.rlike(r"^[-+]?(?:\d+\.?\d*|\.\d+)(?:[eE][-+]?\d+)?$"), plain.try_cast(MONEY))
+    return let(plain, lambda p: F.when(p.rlike(r"^[-+]?(?:\d+\.?\d*|\.\d+)(?:[eE][-+]?\d+)?$"), p.try_cast(MONEY)))
 
 
 def _result(ok: Column, kind: Column | str, unit: Column | str | None = None, number: Column | None = None, day: Column | None = None, text: Column | None = None) -> Column:
@@ -51,33 +53,39 @@ def _result(ok: Column, kind: Column | str, unit: Column | str | None = None, nu
     number = F.lit(None).cast(MONEY) if number is None else number.cast(MONEY)
     day = F.lit(None).cast("date") if day is None else day
     text = F.lit(None).cast("string") if text is None else text
-    ok = F.coalesce(ok, F.lit(False))
-    plain = F.regexp_replace(F.regexp_replace(number.cast("string"), r"(\.\d*?)0+$", "$1"), r"\.$", "")
-    return F.struct(
-        F.when(ok, F.coalesce(text, day.cast("string"), plain)).alias("value"),
-        F.when(ok, number).alias("number"),
-        F.when(ok, day).alias("day"),
-        F.when(ok, kind).alias("type"),
-        F.when(ok, unit).alias("unit"),
-        F.when(ok, F.lit("valid")).otherwise(F.lit("failed")).alias("status"),
-    )
+    parts = F.struct(F.coalesce(ok, F.lit(False)).alias("ok"), kind.alias("kind"), unit.alias("unit"), number.alias("number"), day.alias("day"), text.alias("text"))
+
+    def result(r: Column) -> Column:
+        plain = F.regexp_replace(F.regexp_replace(r["number"].cast("string"), r"(\.\d*?)0+$", "$1"), r"\.$", "")
+        return F.struct(
+            F.when(r["ok"], F.coalesce(r["text"], r["day"].cast("string"), plain)).alias("value"),
+            F.when(r["ok"], r["number"]).alias("number"),
+            F.when(r["ok"], r["day"]).alias("day"),
+            F.when(r["ok"], r["kind"]).alias("type"),
+            F.when(r["ok"], r["unit"]).alias("unit"),
+            F.when(r["ok"], F.lit("valid")).otherwise(F.lit("failed")).alias("status"),
+        )
+
+    return let(parts, result)
 
 
 def money(raw: Column) -> Column:
     """Rupees as a whole number, half to even; crore, lakh, M and K scale it."""
-    text = F.regexp_replace(_clean(raw), CURRENCY, "")
-    factor, rest = F.lit(1), text
-    for pattern, by in reversed(FACTORS):
-        factor = F.when(text.rlike(pattern), F.lit(by)).otherwise(factor)
-        rest = F.when(text.rlike(pattern), F.regexp_replace(text, pattern, "")).otherwise(rest)
-    amount = F.bround((decimal(rest) * factor.cast("decimal(10,0)")).cast("decimal(38,6)"), 0)
-    return _result(amount.isNotNull(), "currency_inr", "INR", amount)
+
+    def amount(text: Column) -> Column:
+        factor, rest = F.lit(1), text
+        for pattern, by in reversed(FACTORS):
+            factor = F.when(text.rlike(pattern), F.lit(by)).otherwise(factor)
+            rest = F.when(text.rlike(pattern), F.regexp_replace(text, pattern, "")).otherwise(rest)
+        return F.bround((decimal(rest) * factor.cast("decimal(10,0)")).cast("decimal(38,6)"), 0)
+
+    found = let(F.regexp_replace(_clean(raw), CURRENCY, ""), amount)
+    return let(found, lambda x: _result(x.isNotNull(), "currency_inr", "INR", x))
 
 
 def percentage(raw: Column) -> Column:
     """The number before a percent sign or word, out of 100."""
-    number = decimal(F.regexp_replace(raw, r"%|percentage|percent", ""))
-    return _result(number.isNotNull(), "percentage", "%", number)
+    return let(decimal(F.regexp_replace(raw, r"%|percentage|percent", "")), lambda x: _result(x.isNotNull(), "percentage", "%", x))
 
 
 def _day(year: Column, month: Column, day: Column) -> Column:
@@ -102,8 +110,7 @@ def date_value(raw: Column) -> Column:
 
 
 def date(raw: Column) -> Column:
-    found = date_value(raw)
-    return _result(found.isNotNull(), "date", day=found)
+    return let(date_value(raw), lambda x: _result(x.isNotNull(), "date", day=x))
 
 
 def month_date(raw: Column) -> Column:
@@ -140,12 +147,16 @@ _IS_DATE = rf"{_DMY}|{_YMD}|{_MONTH_D_Y}|{_D_MONTH_Y}"
 
 def infer(raw: Column) -> Column:
     """The first of money, percentage, date and number whose sign the text shows; a failure there is final."""
+    return let(raw, _infer)
+
+
+def _infer(raw: Column) -> Column:
     plain = decimal(raw)
     return (
         F.when(raw.isNull() | (F.trim(raw) == ""), _result(F.lit(False), "text"))
         .when(raw.rlike(_IS_MONEY), money(raw))
         .when(raw.rlike("(?i)%|percent"), percentage(raw))
         .when(raw.rlike(_IS_DATE), date(raw))
-        .when(F.trim(raw).rlike(r"^-?[\d,]+(?:\.\d+)?$"), _result(plain.isNotNull(), "number", number=plain))
+        .when(F.trim(raw).rlike(r"^-?[\d,]+(?:\.\d+)?$"), let(plain, lambda x: _result(x.isNotNull(), "number", number=x)))
         .otherwise(_result(F.lit(False), "text"))
     )

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tessera.functions import facts as rules
 from tessera.functions import normalize
+from tessera.functions.bind import let
 from tessera.functions.text import normalize_text
 from tessera.sources.schema import ASSERTIONS, LOCATION
 
@@ -60,9 +61,8 @@ def with_predicate(evidence: DataFrame) -> DataFrame:
     sheet = Window.partitionBy("document_id", "source_type", place["sheet_name"], place["column"])
     header = F.max(F.when((F.col("source_type") == "xlsx") & (place["row"] == 1) & _is_text(F.col("raw_value")), F.trim("raw_value"))).over(sheet)
     cells = evidence.filter("source_type = 'xlsx'").withColumn("header", header)
-    named = rules.header_predicate(F.col("header"))
-    fits = named.isNotNull() & rules.predicate_accepts(named, F.col("raw_value"))
-    cell = F.when(F.col("formula").isNotNull(), F.when(fits, named).otherwise("computed_value")).when((place["row"] > 1) & fits, named)
+    named = let(rules.header_predicate(F.col("header")), lambda n: F.when(rules.predicate_accepts(n, F.col("raw_value")), n))
+    cell = let(named, lambda n: F.when(F.col("formula").isNotNull(), F.coalesce(n, F.lit("computed_value"))).when(place["row"] > 1, n))
     blocks = evidence.filter("source_type <> 'xlsx'").withColumn("header", F.lit(None).cast("string"))
     raw = F.trim(F.coalesce("raw_value", F.lit("")))
     before = F.when(raw != "", rules.header_predicate(rules.label_before(F.coalesce("page_text", F.lit("")), raw)))
