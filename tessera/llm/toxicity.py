@@ -2,21 +2,20 @@
 
 1. A bounded sample of labelled rows outside the held-out fold: the ``MAX_TOXIC``
    toxic and ``MAX_CLEAN`` clean ones with the least hash of their id.
-2. The vocabulary: words of the sample that are far more frequent in toxic
-   rows (lift and chi-square), at most ``MAX_TERMS``.  Inverse document
-   frequencies count every document of the corpus.
-3. The examples' vectors form an inverted index in blocks: for each term and block
-   the largest weight.  A query's bound for a block is its weights times these
-   maxima; blocks are scored exactly, highest bound first, until the next
-   bound is under the k-th best cosine.  Nothing is skipped that could be among the k.
+2. Terms: all words of the sample, and the openings of longer ones.  Inverse
+   document frequencies count every document of the corpus.
+3. The examples' vectors: terms that many examples have are multiplied as a matrix
+   in single precision, the others by their postings.  Whatever single precision
+   leaves open about the k best is computed again in double, so they are exact.
 4. The neighbours vote by cosine and class weight; a logistic curve, fitted on
    the examples' votes without themselves, turns the vote, and the number of
-   vocabulary terms it rests on, into a probability.  The neighbours' ids and
-   cosines are the evidence.
+   telling terms in the text, into a probability.  Telling terms are far more
+   frequent in toxic examples (lift and chi-square), at most ``MAX_TERMS``; they
+   have no part in the cosine.  The neighbours' ids and cosines are the evidence.
 
-The index is bounded by these parameters, whatever the corpus, and is broadcast.
-A text without a vocabulary word has no neighbours: it gets the (smoothed)
-toxic share of such examples.
+The index is bounded by the sample, whatever the corpus, and is broadcast.
+A word that no example has is no term.  A text without any term has no
+neighbours: it gets the (smoothed) toxic share of such examples.
 
 Edge cases: a null text is an empty one; without toxic and clean examples every
 score is the smoothed share of toxic ones; repeated rows each give a row; ties
@@ -26,9 +25,11 @@ in cosine go to the example first in the index; an empty table gives an empty re
 from __future__ import annotations
 
 import re
+import zlib
 from collections import Counter
-from collections.abc import Iterator
-from dataclasses import dataclass, field
+from collections.abc import Iterable, Iterator
+from dataclasses import dataclass, fields
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -40,11 +41,13 @@ from tessera.llm.common import cut, fold_crc, table
 FOLDS, HELD_OUT = 3, 1
 THRESHOLD = 0.7
 MAX_TOXIC, MAX_CLEAN, MAX_TERMS = 4_000, 8_000, 2_000
-#: A term of the vocabulary: in at least so many toxic rows, so much likelier in them, with such a chi-square.
+#: A telling term: in at least so many toxic rows, so much likelier in them, with such a chi-square.
 LEAST_TOXIC, LEAST_SHARE, LIFT, CHI_SQUARE = 3, 0.004, 5.0, 25.0
 #: Lengths of the word openings that are terms of their own, so that inflected and joined words count as alike.
 OPENINGS = (5, 7)
 NEIGHBOURS, BLOCK = 15, 64
+#: A term in more than one of so many examples counts as common.
+DENSE = 16
 _WORD = re.compile(r"\w+")
 
 
@@ -54,26 +57,103 @@ def words(text: str | None) -> list[str]:
     return found + ["^" + w[:n] for n in OPENINGS for w in found if len(w) > n]
 
 
+def _fold(terms: list[str]) -> bytes:
+    return zlib.compress("\n".join(terms).encode(), 1)
+
+
+def _unfold(data: bytes) -> dict[str, int]:
+    found = zlib.decompress(data).decode()
+    return {t: i for i, t in enumerate(found.split("\n"))} if found else {}
+
+
+class Terms:
+    """Term numbers; broadcast as one compressed text, and built once per worker."""
+
+    def __init__(self, terms: list[str]) -> None:
+        self.numbers = {t: i for i, t in enumerate(terms)}
+
+    def __getstate__(self) -> bytes:
+        return _fold(list(self.numbers))
+
+    def __setstate__(self, data: bytes) -> None:
+        self.numbers = _unfold(data)
+
+
 @dataclass
 class Index:
-    """Unit vectors of the examples in blocks, with the largest weight of each term in each block."""
+    """Unit vectors of the examples over all their terms, most frequent terms first.
+
+    ``starts``, ``numbers`` and ``counts`` hold the examples' terms one after the
+    other.  Only these travel; weights and postings are built where they are used.
+    """
 
     terms: dict[str, int]
     idf: np.ndarray
     ids: np.ndarray
     toxic: np.ndarray
     weight: np.ndarray
-    maxima: np.ndarray
-    rows: np.ndarray
-    blocks: list[np.ndarray]
+    telling: np.ndarray
+    starts: np.ndarray
+    numbers: np.ndarray
+    counts: np.ndarray
     curve: tuple[float, float, float] = (1.0, 0.0, 0.0)
     empty_score: float = 0.5
     k: int = NEIGHBOURS
-    evaluated: int = field(default=0, compare=False)
+
+    def __post_init__(self) -> None:
+        n = len(self.ids)
+        of = np.repeat(np.arange(n, dtype=np.int32), np.diff(self.starts))
+        self.unit = (1 + np.log(self.counts)) * self.idf[self.numbers]
+        self.unit /= np.sqrt(np.bincount(of, self.unit * self.unit, n))[of]
+        order = np.argsort(self.numbers, kind="stable")
+        self.posts = np.searchsorted(self.numbers[order], np.arange(len(self.idf) + 1))
+        # Terms of many examples are multiplied as a matrix, the others by their postings.
+        self.dense = int((np.diff(self.posts) > n / DENSE).sum())
+        self.matrix = np.zeros((self.dense, n), np.float32)
+        common = order[: self.posts[self.dense]]
+        self.matrix[self.numbers[common], of[common]] = self.unit[common]
+        rare = order[self.posts[self.dense] :]
+        self.posts = self.posts - len(common)
+        self.members, self.parts = of[rare], self.unit[rare].astype(np.float32)
+        self.query = np.zeros(len(self.idf))
+
+    def __getstate__(self) -> dict:
+        """The parts that the others follow from, compressed; within an example, terms as differences."""
+        gaps = np.diff(self.numbers, prepend=np.int32(0))
+        packed = {"numbers": zlib.compress(gaps.astype(np.int32).tobytes(), 1), "counts": zlib.compress(self.counts.astype(np.int32).tobytes(), 1), "terms": _fold(list(self.terms))}
+        return {f.name: getattr(self, f.name) for f in fields(self)} | packed
+
+    def __setstate__(self, state: dict) -> None:
+        self.__dict__.update(state)
+        self.numbers = np.cumsum(np.frombuffer(zlib.decompress(state["numbers"]), np.int32), dtype=np.int32)
+        self.counts = np.frombuffer(zlib.decompress(state["counts"]), np.int32)
+        self.terms = _unfold(state["terms"])
+        self.__post_init__()
+
+    @cached_property
+    def rows(self) -> np.ndarray:
+        """For each block of examples and term its row in ``blocks``, or -1: a dense layout, for small indexes only."""
+        found = np.full((-(-len(self.ids) // BLOCK), len(self.terms)), -1, np.int32)
+        for b in range(len(found)):
+            here = np.unique(self.numbers[self.starts[b * BLOCK] : self.starts[min((b + 1) * BLOCK, len(self.ids))]])
+            found[b, here] = np.arange(len(here))
+        return found
+
+    @cached_property
+    def blocks(self) -> list[np.ndarray]:
+        found = []
+        for b, rows in enumerate(self.rows):
+            members = range(b * BLOCK, min((b + 1) * BLOCK, len(self.ids)))
+            found.append(np.zeros((int(rows.max(initial=-1)) + 1, len(members))))
+            for j, i in enumerate(members):
+                at = slice(self.starts[i], self.starts[i + 1])
+                found[-1][rows[self.numbers[at]], j] = self.unit[at]
+        return found
 
     def vector(self, text: str | None) -> tuple[np.ndarray, np.ndarray]:
         """Term numbers and unit weights of a text."""
-        counts = Counter(self.terms[w] for w in words(text) if w in self.terms)
+        get = self.terms.get
+        counts = Counter(i for w in words(text) if (i := get(w)) is not None)
         return self.weigh(np.fromiter(counts, np.int64, len(counts)), np.fromiter(counts.values(), float, len(counts)))
 
     def weigh(self, terms: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -82,22 +162,43 @@ class Index:
 
     def nearest(self, terms: np.ndarray, weights: np.ndarray, without: int = -1) -> tuple[np.ndarray, np.ndarray]:
         """The k examples of highest cosine above zero, and their cosines; exact."""
-        bound = weights @ self.maxima[terms]
-        best_at, best = np.zeros(0, np.int64), np.zeros(0)
-        for b in np.argsort(-bound, kind="stable"):
-            if bound[b] <= 0 or len(best) == self.k and bound[b] < best[-1] - 1e-9:
-                break
-            self.evaluated += 1
-            rows = self.rows[b, terms]
-            has = rows >= 0
-            cosine = weights[has] @ self.blocks[b][rows[has]]
-            at = b * BLOCK + np.flatnonzero(cosine > 0)
-            cosine = cosine[cosine > 0]
-            keep = at != without
-            best_at, best = np.r_[best_at, at[keep]], np.r_[best, cosine[keep]]
-            by = np.lexsort((best_at, -best))[: self.k]
-            best_at, best = best_at[by], best[by]
-        return best_at, best
+        return next(self.search([(terms, weights)], [without]))
+
+    def search(self, vectors: list[tuple[np.ndarray, np.ndarray]], without: list[int] | None = None) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """``nearest`` of many vectors."""
+        for begin in range(0, len(vectors), BLOCK):
+            some = vectors[begin : begin + BLOCK]
+            common = np.zeros((len(some), self.dense), np.float32)
+            for i, (terms, weights) in enumerate(some):
+                low = terms < self.dense
+                common[i, terms[low]] = weights[low]
+            for i, cosines in enumerate(common @ self.matrix):
+                yield self._best(*some[i], cosines, without[begin + i] if without else -1)
+
+    def _best(self, terms: np.ndarray, weights: np.ndarray, near: np.ndarray, without: int) -> tuple[np.ndarray, np.ndarray]:
+        """``near`` are the cosines over the common terms, in single precision."""
+        n = len(near)
+        high = terms >= self.dense
+        if high.any():
+            begin, end = self.posts[terms[high]], self.posts[terms[high] + 1]
+            spans = [slice(a, b) for a, b in zip(begin.tolist(), end.tolist(), strict=True)]
+            near = near + np.bincount(np.concatenate([self.members[s] for s in spans]), np.concatenate([self.parts[s] for s in spans]) * np.repeat(weights[high], end - begin), n)
+        if without >= 0:
+            near[without] = 0
+        # Twice what single precision can be off by; what is that near is computed again in double.
+        slack = 2 * (self.dense + 8) * 2.0**-23
+        least = np.partition(near, n - self.k)[n - self.k] - slack if n > self.k else 0.0
+        at = np.flatnonzero(near >= least) if least > 0 else np.flatnonzero(near > 0)
+        if not len(at):
+            return at, np.zeros(0)
+        self.query[terms] = weights
+        begin, end = self.starts[at], self.starts[at + 1]
+        spans = [slice(a, b) for a, b in zip(begin.tolist(), end.tolist(), strict=True)]
+        products = np.concatenate([self.unit[s] for s in spans]) * self.query[np.concatenate([self.numbers[s] for s in spans])]
+        self.query[terms] = 0
+        cosine = np.add.reduceat(products, np.r_[0, np.cumsum(end - begin)[:-1]])
+        by = np.lexsort((at, -cosine))[: self.k]
+        return at[by], cosine[by]
 
     def vote(self, at: np.ndarray, cosine: np.ndarray) -> float:
         """The log odds of toxic neighbours, by cosine and class weight, smoothed by half a neighbour on either side."""
@@ -105,50 +206,42 @@ class Index:
         share = float((w * self.toxic[at]).sum() / w.sum())
         return float(np.log((share * len(at) + 0.5) / ((1 - share) * len(at) + 0.5)))
 
-    def score(self, text: str | None) -> tuple[float, np.ndarray, np.ndarray]:
-        """The probability of a text and its evidence."""
-        terms, weights = self.vector(text)
-        at, cosine = self.nearest(terms, weights) if len(terms) else (np.zeros(0, np.int64), np.zeros(0))
-        if not len(at):
-            return self.empty_score, at, cosine
-        a, s, b = self.curve
-        return float(1 / (1 + np.exp(-(a * self.vote(at, cosine) + s * np.log(len(terms)) + b)))), self.ids[at], cosine
-
-
-def build_index(terms: list[str], idf: np.ndarray, examples: list[tuple[int, int, dict[int, int]]], weights: tuple[float, float], k: int = NEIGHBOURS) -> Index:
-    """The index of (doc_id, toxic, {term: count}) with the class weights (clean, toxic), and its calibration."""
-    index = Index({t: i for i, t in enumerate(terms)}, idf, *(np.zeros(0),) * 3, np.zeros((len(terms), 0)), np.zeros((0, len(terms)), np.int64), [], k=k)
-    vectors = [(d, y, *index.weigh(np.fromiter(c, np.int64, len(c)), np.fromiter(c.values(), float, len(c)))) for d, y, c in examples]
-    # Alike examples share blocks: by label, then by their heaviest term.
-    some = sorted((v for v in vectors if len(v[2])), key=lambda v: (v[1], int(v[2][v[3].argmax()]), -float(v[3].max()), v[0]))
-    index.ids = np.array([v[0] for v in some], np.int64)
-    index.toxic = np.array([v[1] for v in some], float)
-    index.weight = np.where(index.toxic > 0, weights[1], weights[0])
-    n = -(-len(some) // BLOCK)
-    index.maxima, index.rows = np.zeros((len(terms), n)), np.full((n, len(terms)), -1, np.int32)
-    for b in range(n):
-        members = some[b * BLOCK : (b + 1) * BLOCK]
-        here = np.unique(np.concatenate([v[2] for v in members]))
-        index.rows[b, here] = np.arange(len(here))
-        block = np.zeros((len(here), len(members)))
-        for j, v in enumerate(members):
-            block[index.rows[b, v[2]], j] = v[3]
-        index.blocks.append(block)
-        index.maxima[here, b] = block.max(1)
+    def evidence(self, terms: np.ndarray, at: np.ndarray, cosine: np.ndarray) -> tuple[float, float]:
+        """What the calibration sees: the vote, and the number of telling terms."""
+        return self.vote(at, cosine), float(np.log1p(np.count_nonzero(self.telling[terms])))
+
+    def score(self, texts: Iterable[str | None]) -> Iterator[tuple[float, np.ndarray, np.ndarray]]:
+        """The probability of each text and its evidence."""
+        vectors = [self.vector(t) for t in texts]
+        for (terms, _), (at, cosine) in zip(vectors, self.search(vectors), strict=True):
+            if not len(at):
+                yield self.empty_score, at, cosine
+                continue
+            a, s, b = self.curve
+            vote, telling = self.evidence(terms, at, cosine)
+            yield float(1 / (1 + np.exp(-(a * vote + s * telling + b)))), self.ids[at], cosine
+
+
+def build_index(terms: list[str], idf: np.ndarray, telling: np.ndarray, examples: list[tuple[int, int, np.ndarray, np.ndarray]], weights: tuple[float, float], k: int = NEIGHBOURS) -> Index:
+    """The index of (doc_id, toxic, term numbers in order, counts) with the class weights (clean, toxic), and its calibration."""
+    some = [e for e in examples if len(e[2])]
+    toxic = np.array([e[1] for e in some], float)
+    join = lambda j: np.concatenate([np.zeros(0, np.int32), *(e[j] for e in some)]).astype(np.int32)
+    starts = np.cumsum([0, *(len(e[2]) for e in some)])
+    index = Index({t: i for i, t in enumerate(terms)}, idf, np.array([e[0] for e in some], np.int64), toxic, np.where(toxic > 0, weights[1], weights[0]), telling, starts, join(2), join(3), k=k)
     # Calibration: every example's vote without itself.
     x, y, w = [], [], []
-    blank = [1.0, 2.0]
-    for i, v in enumerate(some):
-        at, cosine = index.nearest(v[2], v[3], without=i)
-        if len(at):
-            x.append((index.vote(at, cosine), np.log(len(v[2]))))
-            y.append(v[1])
-            w.append(weights[v[1]])
-    for v in vectors:
-        if not len(v[2]):
-            blank[0] += weights[v[1]] * v[1]
-            blank[1] += weights[v[1]]
-    index.empty_score = float(blank[0] / blank[1])
+    for begin in range(0, len(some), BLOCK):
+        which = range(begin, min(begin + BLOCK, len(some)))
+        vectors = [(index.numbers[s], index.unit[s]) for s in (slice(starts[i], starts[i + 1]) for i in which)]
+        for i, (at, cosine) in zip(which, index.search(vectors, list(which)), strict=True):
+            if len(at):
+                x.append(index.evidence(vectors[i - begin][0], at, cosine))
+                y.append(some[i][1])
+                w.append(weights[some[i][1]])
+    blank = [weights[e[1]] * np.array([e[1], 1.0]) for e in examples if not len(e[2])]
+    share = np.array([1.0, 2.0]) + sum(blank, np.zeros(2))
+    index.empty_score = float(share[0] / share[1])
     if x:
         index.curve = platt(np.array(x), np.array(y, float), np.array(w))
     return index
@@ -200,39 +293,51 @@ def train(docs: DataFrame, labels: DataFrame, max_toxic: int = MAX_TOXIC, max_cl
     n = {r["toxic"]: r["count"] for r in sampled.groupBy("toxic").count().collect()}
     n_toxic, n_clean = n.get(1, 0), n.get(0, 0)
     if not n_toxic or not n_clean:
-        index = build_index([], np.zeros(0), [], (1.0, 1.0))
+        index = build_index([], np.zeros(0), np.zeros(0, bool), [], (1.0, 1.0))
         index.empty_score = (totals["t"] + 1) / (totals["t"] + totals["c"] + 2)
         return index
     counts = sampled.select("text", "toxic").mapInArrow(_term_rows, "term string, toxic int, n long").groupBy("term").agg(F.sum(F.col("n") * F.col("toxic")).alias("a"), F.sum(F.col("n") * (1 - F.col("toxic"))).alias("b"))
     a, b = F.col("a").cast("double"), F.col("b").cast("double")
     total = n_toxic + n_clean
     chi = total * F.pow(a * (n_clean - b) - b * (n_toxic - a), F.lit(2)) / ((a + b) * (total - a - b + 1e-9) * n_toxic * n_clean)
-    good = counts.withColumn("chi", chi).filter((a >= max(LEAST_TOXIC, LEAST_SHARE * n_toxic)) & (a / n_toxic > LIFT * (b + 0.5) / n_clean) & (F.col("chi") >= CHI_SQUARE))
-    terms = [r["term"] for r in good.orderBy(F.desc("chi"), "term").limit(MAX_TERMS).collect()]
-
-    lookup = {t: i for i, t in enumerate(terms)}
+    good = (a >= max(LEAST_TOXIC, LEAST_SHARE * n_toxic)) & (a / n_toxic > LIFT * (b + 0.5) / n_clean) & (F.col("chi") >= CHI_SQUARE)
+    # All terms of a bounded sample; the most frequent have the least numbers.
+    found = counts.withColumn("chi", chi).select("term", (F.col("a") + F.col("b")).alias("n"), F.when(good, F.col("chi")).alias("chi")).toArrow()
+    found = sorted(zip(found["term"].to_pylist(), found["n"].to_pylist(), found["chi"].to_pylist(), strict=True), key=lambda r: (-r[1], r[0]))
+    terms = [r[0] for r in found]
+    telling = np.zeros(len(terms), bool)
+    telling[[i for _, _, i in sorted((-r[2], r[0], i) for i, r in enumerate(found) if r[2] is not None)[:MAX_TERMS]]] = True
+    del found
+    shared = docs.sparkSession.sparkContext.broadcast(Terms(terms))
 
     def frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        lookup = shared.value.numbers
         seen, rows = np.zeros(len(lookup), np.int64), 0
         for batch in batches:
             rows += batch.num_rows
             for text in batch.column(0):
-                for i in {lookup[w] for w in words(text.as_py()) if w in lookup}:
-                    seen[i] += 1
+                for w in set(words(text.as_py())):
+                    if (i := lookup.get(w)) is not None:
+                        seen[i] += 1
         at = np.flatnonzero(seen)
         yield pa.RecordBatch.from_arrays([pa.array(np.r_[at, -1], pa.int32()), pa.array(np.r_[seen[at], rows], pa.int64())], names=["term", "n"])
 
-    df = {r["term"]: r["n"] for r in docs.select("text").mapInArrow(frequencies, "term int, n long").groupBy("term").agg(F.sum("n").alias("n")).collect()}
-    idf = np.log((1 + df.get(-1, 0)) / (1 + np.array([df.get(i, 0) for i in range(len(terms))], float))) + 1
+    df = docs.select("text").mapInArrow(frequencies, "term int, n long").groupBy("term").agg(F.sum("n").alias("n")).toArrow()
+    seen = np.zeros(len(terms) + 1)
+    seen[df["term"].to_numpy()] = df["n"].to_numpy()
+    idf = np.log((1 + seen[-1]) / (1 + seen[:-1])) + 1
 
     def vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        lookup = shared.value.numbers
         for batch in batches:
-            found = [Counter(lookup[w] for w in words(t.as_py()) if w in lookup) for t in batch.column(0)]
-            yield pa.RecordBatch.from_arrays([batch.column(2), batch.column(1), pa.array([list(c) for c in found], pa.list_(pa.int32())), pa.array([list(c.values()) for c in found], pa.list_(pa.int32()))], names=["doc_id", "toxic", "terms", "counts"])
+            found = [sorted(Counter(lookup[w] for w in words(t.as_py())).items()) for t in batch.column(0)]
+            packed = [[np.array([x[j] for x in c], np.int32).tobytes() for c in found] for j in (0, 1)]
+            yield pa.RecordBatch.from_arrays([batch.column(2), batch.column(1), pa.array(packed[0], pa.binary()), pa.array(packed[1], pa.binary())], names=["doc_id", "toxic", "terms", "counts"])
 
-    rows = sampled.mapInArrow(vectors, "doc_id long, toxic int, terms array<int>, counts array<int>").collect()
-    examples = sorted(((r["doc_id"], r["toxic"], dict(zip(r["terms"], r["counts"], strict=True))) for r in rows), key=lambda e: (e[0], sorted(e[2].items())))
-    return build_index(terms, idf, examples, (totals["c"] / n_clean, totals["t"] / n_toxic))
+    rows = sorted(sampled.mapInArrow(vectors, "doc_id long, toxic int, terms binary, counts binary").collect())
+    shared.unpersist()
+    examples = [(r["doc_id"], r["toxic"], np.frombuffer(r["terms"], np.int32), np.frombuffer(r["counts"], np.int32)) for r in rows]
+    return build_index(terms, idf, telling, examples, (totals["c"] / n_clean, totals["t"] / n_toxic))
 
 
 def score_toxicity(docs: DataFrame, index: Index) -> DataFrame:
@@ -242,7 +347,7 @@ def score_toxicity(docs: DataFrame, index: Index) -> DataFrame:
     def score(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         index = shared.value
         for texts in batches:
-            found = [index.score(t.as_py()) for t in texts]
+            found = list(index.score(t.as_py() for t in texts))
             yield pa.StructArray.from_arrays([pa.array([f[0] for f in found], pa.float64()), pa.array([f[1].tolist() for f in found], pa.list_(pa.int64())), pa.array([f[2].tolist() for f in found], pa.list_(pa.float64()))], names=["score", "neighbours", "cosines"])
 
     score.__annotations__ = {"batches": Iterator[pa.Array], "return": Iterator[pa.Array]}

@@ -2,6 +2,7 @@
 
 import collections
 import hashlib
+import pickle
 import random
 import re
 import zlib
@@ -375,6 +376,37 @@ def test_toxicity_is_exact_and_learns(spark):
     assert len({r.score for r in blank}) == 1
 
 
+def test_toxicity_indexes_all_terms_of_the_examples(spark):
+    import math
+    from collections import Counter
+
+    docs, labels, n = labelled_docs(spark)
+    # Toxic by words that nothing else has, so that no selection by frequency keeps them.
+    odd = next(i for i in range(5000, 5100) if zlib.crc32(str(i).encode()) % toxicity.FOLDS != toxicity.HELD_OUT)
+    docs = docs.filter("doc_id >= 10").union(docs_of(spark, [(odd, "zyx wvut zyx"), (7001, "zyx wvut zyx")]))
+    labels = labels.union(spark.createDataFrame([(odd, 1, 1)], labels.schema))
+    index = pickle.loads(pickle.dumps(toxicity.train(docs, labels)))
+    got = {r.doc_id: r for r in toxicity.score_toxicity(docs, index).collect()}
+    assert got[7001].neighbours == [odd] and abs(got[7001].cosines[0] - 1) < 1e-9
+    # Full TF-IDF cosine, without the index.
+    texts = {r.doc_id: r.text for r in docs.collect()}
+    every = [set(toxicity.words(r.text)) for r in docs.collect()]
+    df = Counter(w for s in every for w in s)
+    known = {w for i in index.ids.tolist() for w in toxicity.words(texts[i])}
+    assert set(index.terms) == known
+
+    def vector(text):
+        w = {t: (1 + math.log(c)) * (math.log((1 + len(every)) / (1 + df[t])) + 1) for t, c in Counter(toxicity.words(text)).items() if t in known}
+        length = math.sqrt(sum(x * x for x in w.values()))
+        return {t: x / length for t, x in w.items()}
+
+    examples = [vector(texts[i]) for i in index.ids.tolist()]
+    for i in list(texts)[:25]:
+        q = vector(texts[i])
+        want = sorted((c for x in examples if (c := sum(q[t] * x.get(t, 0) for t in q)) > 0), reverse=True)[: index.k]
+        assert len(want) == len(got[i].cosines) and all(abs(a - b) < 1e-9 for a, b in zip(want, got[i].cosines, strict=True))
+
+
 # URL filters and WARC
 
 
