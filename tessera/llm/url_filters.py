@@ -27,8 +27,8 @@ from pyspark.sql import functions as F
 
 from tessera.llm.common import table
 
-#: Intervals that are broadcast; with ``KEY_CHARS`` a bound of about 50 MB.
-BROADCAST_ROWS, KEY_CHARS = 200_000, 256
+#: Intervals that are broadcast. They carry a digest of their key, not the key, so their rows stay small however long keys are.
+BROADCAST_ROWS = 200_000
 SALTS = 64
 
 
@@ -59,7 +59,7 @@ def keys(host: Column, path: Column) -> Column:
 
 def intervals(entries: DataFrame) -> DataFrame:
     """(list, kind, key, valid_from, valid_to): when each entry was active; valid_to null is still active."""
-    log = entries.filter("key is not null and day is not null and action in ('add', 'remove')").select("list", "kind", F.substring(F.lower("key"), 1, KEY_CHARS).alias("key"), "day", (F.col("action") == "add").alias("on"))
+    log = entries.filter("key is not null and day is not null and action in ('add', 'remove')").select("list", "kind", F.lower("key").alias("key"), "day", (F.col("action") == "add").alias("on"))
     # One state a day; on one day "remove" comes last.
     log = log.groupBy("list", "kind", "key", "day").agg(F.bool_and("on").alias("on"))
     window = Window.partitionBy("list", "kind", "key").orderBy("day")
@@ -76,19 +76,21 @@ def filter_urls(captures: DataFrame, entries: DataFrame) -> DataFrame:
     # xxhash64 tells repeated captures of one page apart only by their number, which the count below keeps.
     rows = captures.select("page_id", "url", "fetch_time").groupBy("page_id", "url", "fetch_time").agg(F.count("*").alias("copies"))
     rows = rows.withColumn("host", host(F.col("url"))).withColumn("k", F.explode_outer(keys(F.col("host"), path(F.col("url")))))
-    rows = rows.select("page_id", "url", "fetch_time", "copies", "host", F.lower(F.substring("k.key", 1, KEY_CHARS)).alias("key"), "k.labels", "k.parts")
+    rows = rows.select("page_id", "url", "fetch_time", "copies", "host", F.lower("k.key").alias("key"), "k.labels", "k.parts")
+    # Joined by digest: the shuffled or broadcast intervals have a fixed width, and the capture knows the key itself.
+    rows, active = rows.withColumn("digest", _digest("key")), active.withColumn("digest", _digest("key")).drop("key")
     if active.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:
         joined = rows.join(F.broadcast(active), _holds(rows, active), "left")
     else:
         salted = rows.withColumn("salt", F.pmod(F.xxhash64("page_id", "url"), F.lit(SALTS)))
         spread = active.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
         joined = salted.join(spread, _holds(salted, spread) & (salted["salt"] == spread["salt"]), "left")
-    rule = F.struct((F.col("kind") == "allow").alias("allow"), F.col("parts"), F.col("labels"), F.col("valid_from"), F.col("list"), active["key"].alias("key"))
+    rule = F.struct((F.col("kind") == "allow").alias("allow"), F.col("parts"), F.col("labels"), F.col("valid_from"), F.col("list"), F.col("key"))
     best = joined.groupBy("page_id", "url", "fetch_time").agg(
         F.first("copies").alias("copies"),
         F.first("host").alias("host"),
-        F.count(active["key"]).alias("n_rules"),
-        F.max(F.when(active["key"].isNotNull(), rule)).alias("rule"),
+        F.count(active["digest"]).alias("n_rules"),
+        F.max(F.when(active["digest"].isNotNull(), rule)).alias("rule"),
     )
     return best.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))).select(
         "page_id",
@@ -101,8 +103,12 @@ def filter_urls(captures: DataFrame, entries: DataFrame) -> DataFrame:
     )
 
 
+def _digest(key: str) -> Column:
+    return F.unhex(F.sha2(F.col(key).cast("binary"), 256))
+
+
 def _holds(rows: DataFrame, active: DataFrame) -> Column:
-    return (rows["key"] == active["key"]) & (rows["fetch_time"] >= active["valid_from"]) & (active["valid_to"].isNull() | (rows["fetch_time"] < active["valid_to"]))
+    return (rows["digest"] == active["digest"]) & (rows["fetch_time"] >= active["valid_from"]) & (active["valid_to"].isNull() | (rows["fetch_time"] < active["valid_to"]))
 
 
 #: The entries that the query adds to those it derives from the hosts it sees.

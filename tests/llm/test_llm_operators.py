@@ -426,6 +426,18 @@ def test_url_filters(spark):
     assert not any(r.blocked for r in url_filters.filter_urls(c, e.limit(0)).collect())
 
 
+@pytest.mark.parametrize("few", [200_000, -1])
+def test_url_keys_count_whole(spark, monkeypatch, few):
+    monkeypatch.setattr(url_filters, "BROADCAST_ROWS", few)
+    long = "x.com/" + "a" * 300
+    entries = [(f"{long}/b", "add", "2024-01-01"), (f"{long}/c", "add", "2024-01-01"), (f"{long}/c", "remove", "2024-01-05")]
+    captures = [(1, f"http://{long}/b/d/e"), (2, f"http://{long}/c"), (3, f"http://{long}a/b"), (4, f"http://{long}"), (5, f"http://{long}/bb")]
+    e = spark.createDataFrame([("l", "block", *x) for x in entries], "list string, kind string, key string, action string, day string").withColumn("day", F.col("day").cast("timestamp"))
+    c = spark.createDataFrame(captures, "page_id long, url string").withColumn("fetch_time", F.lit("2024-01-10").cast("timestamp"))
+    got = {r.page_id: (r.n_rules, r.rule, r.blocked) for r in url_filters.filter_urls(c, e).collect()}
+    assert got == {1: (1, f"{long}/b", True)} | {i: (0, None, False) for i in (2, 3, 4, 5)}
+
+
 def test_warc_round_trip(spark, tmp_path):
     import base64
 
