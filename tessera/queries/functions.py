@@ -98,8 +98,10 @@ def cosine_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def hybrid_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = table(spark, sf_dir, "benchmark").select(F.concat(F.lit("b"), F.col("item_id").cast("string")).alias("source_id"), F.lit("evidence").alias("source"), F.lit("d").alias("document_id"), F.substring("text", 1, 80).alias("text"))
-    return search.hybrid(rows, "the inner text of a thing", 8, dimension=32).select("source_id", "by", F.round("score", 6).alias("score"))
+    """The documents nearest to a query, by whole texts."""
+    key = F.col("doc_id").cast("string")
+    rows = table(spark, sf_dir, "documents").select(F.concat(F.lit("d"), key).alias("source_id"), F.lit("evidence").alias("source"), key.alias("document_id"), "text")
+    return search.hybrid(rows, "the inner text of a thing", 8).select("source_id", "by", F.round("score", 6).alias("score"))
 
 
 def resolve_status(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,6 +1,11 @@
 """Plans, the golden scenario, ETL, storage, SQL and streams."""
 
+import hashlib
+import itertools
 import json
+import math
+import re
+import struct
 
 import pytest
 from pyspark.sql import functions as F
@@ -119,6 +124,43 @@ def test_search(spark, golden):
     assert raw == sorted(raw, reverse=True) and raw[0] > 1
 
 
+def brute_hybrid(rows, query, k):
+    def words(t):
+        return " ".join(sorted(re.findall(r"[^\W_]+", t.lower())))
+
+    def ratio(a, b):
+        row = [0] * (len(b) + 1)
+        for x in a:
+            row = list(itertools.accumulate(range(1, len(b) + 1), lambda left, j, old=row, x=x: old[j - 1] + 1 if b[j - 1] == x else max(old[j], left), initial=0))
+        return 200 * row[-1] / (len(a) + len(b))
+
+    def vector(t):
+        raw = struct.unpack(">384I", b"".join(hashlib.sha256(f"{t}:{i}".encode()).digest() for i in range(48)))
+        raw = [x / (2**32 - 1) * 2 - 1 for x in raw]
+        size = math.sqrt(sum(x * x for x in raw))
+        return [x / size for x in raw]
+
+    q = vector(query)
+    lexical = {i: r / 100 for i, t in rows if (r := ratio(words(t), words(query))) >= 30}
+    semantic = {i: (sum(a * b for a, b in zip(vector(t), q, strict=True)) / (1 + 1e-9) + 1) / 2 for i, t in rows}
+    best = {}
+    for by, scores in (("lexical", lexical), ("semantic", semantic)):
+        for i in sorted(scores, key=lambda i: (-scores[i], i))[:k]:
+            best[i] = max(best.get(i, (0, "")), (scores[i], by))
+    return [(i, best[i][1], best[i][0]) for i in sorted(best, key=lambda i: (-best[i][0], i))[:k]]
+
+
+def test_hybrid_query_searches_whole_documents(spark, tmp_path):
+    import __spark_entry__ as entry
+
+    texts = ["padding " * 10 + "the inner text of a thing", "the inner text of a thing", "inner thing", "x" * 80 + " a thing of inner text", "The THING: of inner-text a", *(f"row {i} " + "word " * i for i in range(12))]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = entry.queries()["hybrid_topk"](spark, str(tmp_path)).collect()
+    want = brute_hybrid([(f"d{i}", t) for i, t in enumerate(texts)], "the inner text of a thing", 8)
+    assert [(r.source_id, r["by"]) for r in got] == [w[:2] for w in want]
+    assert all(abs(r.score - w[2]) < 2e-6 for r, w in zip(got, want, strict=True))
+
+
 def test_calculate(spark, golden):
     calc = Engine(spark, golden).calculate
     assert calc([1, 2, None, 6], "sum") == 9 and calc([], "sum") == 0 and calc([], "avg") == 0 and calc([], "min") is None
