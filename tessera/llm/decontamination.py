@@ -175,7 +175,9 @@ def contamination(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
         return _summary(_hits(probes, F.broadcast(prints.union(row))))
     # Too large to broadcast: find the documents with a hit by hashes alone, and broadcast nothing but the row marker.
     ids = probes.filter("probe.n >= 0").select("doc_id", "text_hash", "probe").join(prints.select(F.struct("n", "fingerprint").alias("probe")).distinct(), "probe", "left_semi").select("doc_id", "text_hash").distinct()
-    some = docs.withColumn("text_hash", F.xxhash64("text")).join(ids, ["doc_id", "text_hash"], "left_semi").select("doc_id", "text")
+    ids = ids.select(F.col("doc_id").alias("__id"), F.col("text_hash").alias("__hash"))
+    some = docs.withColumn("text_hash", F.xxhash64("text"))
+    some = some.join(ids, some["doc_id"].eqNullSafe(ids["__id"]) & (some["text_hash"] == ids["__hash"]), "left_semi").select("doc_id", "text")
     hits = _hits(_probes(some, sorted(size["short"] or [])).filter("probe.n >= 0"), prints)
     marks = _hits(_probes(docs, []).filter("probe.n < 0"), F.broadcast(row))
     return _summary(marks.union(hits))

@@ -230,6 +230,17 @@ def test_decontamination_matches_brute_force(spark, monkeypatch, limit):
     assert len(clean) == len(rows) and not any(r.contaminated for r in clean)
 
 
+@pytest.mark.parametrize("limit", [200_000, 0])
+def test_decontamination_finds_rows_without_an_id(spark, monkeypatch, limit):
+    monkeypatch.setattr(decontamination, "BROADCAST_WORDS", limit)
+    passage = prose(22, 40)
+    docs = docs_of(spark, [(None, passage), (None, prose(23, 40)), (1, passage), (2, prose(24, 40))])
+    bench = spark.createDataFrame([(1, passage)], "item_id long, text string")
+    got = decontamination.contamination(docs, bench).collect()
+    assert sorted((r.doc_id is None, r.n_hit, r.contaminated) for r in got) == [(False, 0, False), (False, 40, True), (True, 0, False), (True, 40, True)]
+    assert sorted(str(r.doc_id) for r in decontamination.drop_contaminated(docs, bench).collect()) == ["2", "None"]
+
+
 # Near-duplicates
 
 
