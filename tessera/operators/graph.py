@@ -6,6 +6,8 @@ lineage, so a lost executor repeats one round at most.
 
 from __future__ import annotations
 
+import itertools
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -58,16 +60,17 @@ def k_hop(edges: DataFrame, start: DataFrame, hops: int = 2) -> DataFrame:
     return seen
 
 
-def shortest_path(edges: DataFrame, start: str, end: str, most: int = 16) -> DataFrame:
+def shortest_path(edges: DataFrame, start: str, end: str, most: int | None = None) -> DataFrame:
     """(path, length) of a shortest directed path, the smallest of equals; no row where there is none.
 
     Each round keeps one path per node, so it grows with the nodes, not with the paths.
+    It ends when no new node is found, or after ``most`` edges where that is given.
     """
     spark = edges.sparkSession
     step = edges.select("subject_id", "object_id").distinct()
     front = spark.createDataFrame([(start, [start])], "node string, path array<string>")
     seen = front.select("node")
-    for _ in range(most + 1):
+    for _ in itertools.count() if most is None else range(most + 1):
         hit = front.filter(F.col("node") == end)
         if hit.limit(1).count():
             return hit.select("path", (F.size("path") - 1).alias("length"))
@@ -75,7 +78,8 @@ def shortest_path(edges: DataFrame, start: str, end: str, most: int = 16) -> Dat
         front = cut(found.select(F.col("object_id").alias("node"), "path").join(seen, "node", "left_anti"), "front")
         if not front.limit(1).count():
             break
-        seen = seen.union(front.select("node"))
+        # Written again, or its plan would grow with every round.
+        seen = cut(seen.union(front.select("node")), "seen")
     return spark.createDataFrame([], "path array<string>, length int")
 
 

@@ -105,6 +105,13 @@ def test_traversal_directions(spark, golden):
     assert graph.shortest_path(golden.relationships, "metro", "alpha").count() == 0
 
 
+def test_long_paths_are_found(spark):
+    edges = spark.createDataFrame([(f"n{i:02}", "next", f"n{i + 1:02}", "e") for i in range(18)], "subject_id string, predicate string, object_id string, evidence_id string")
+    found = graph.shortest_path(edges, "n00", "n18").first()
+    assert found.length == 18 and found.path == [f"n{i:02}" for i in range(19)]
+    assert graph.shortest_path(edges, "n00", "n18", 17).count() == 0 and graph.shortest_path(edges, "n00", "nowhere").count() == 0
+
+
 def test_resolution_margins(spark):
     rows = spark.createDataFrame([("a", 0.70, "x"), ("a", 0.68, "y"), ("b", 0.95, "x"), ("b", 0.40, "y"), ("c", 0.90, "x"), ("c", 0.85, "y"), ("d", 0.3, "x")], "m string, score double, entity_id string")
     got = {(r.m, r.entity_id): r.status for r in resolve.finalize(rows, ["m"]).collect()}
