@@ -31,6 +31,8 @@ class Config:
 
 
 DEFAULT = Config()
+#: Parts of the mentions of one type, so that a common type is compared by several tasks.
+SALTS = 16
 
 
 def scored(pairs: DataFrame, config: Config = DEFAULT) -> DataFrame:
@@ -74,19 +76,26 @@ def resolve_text(entities: DataFrame, query: str, entity_type: str | None = None
 
 
 def resolve_mentions(mentions: DataFrame, entities: DataFrame, config: Config = DEFAULT) -> DataFrame:
-    """The candidates of every mention (mention_id, mention_text, entity_type), blocked by type.
+    """The candidates of every mention (mention_id, mention_text, entity_type), of its type; a blank type fits all.
 
-    Names are joined exactly first; only mentions without an exact name are
-    compared with the distinct names of their type that share a word with them.
+    Every fitting pair is compared. The semantic part alone may be worth as much as the lexical one, so no shared word or
+    n-gram is sure; pairs are left out only where their lexical part can't lift the score to what a status depends on.
     """
-    names = entities.select("entity_id", "name", "aliases", F.col("entity_type").alias("entity_type"), normalize_text(F.col("entity_type")).alias("block"))
-    asked = mentions.select("mention_id", "mention_text", F.col("entity_type").alias("mention_type"), normalize_text(F.col("entity_type")).alias("block"))
-    keys = names.withColumn("key", F.explode(F.array_distinct(F.transform(F.concat(F.array("name"), "aliases"), normalize_text)))).select("entity_id", "block", "key")
-    exact = asked.withColumn("key", normalize_text(F.col("mention_text"))).join(keys, ["block", "key"]).select("mention_id", "entity_id", F.lit(1.0).alias("score"))
-    rest = asked.join(exact.select("mention_id").distinct(), "mention_id", "left_anti").withColumn("word", F.explode(F.array_distinct(F.split(normalize_text(F.col("mention_text")), " "))))
-    words = keys.withColumn("word", F.explode(F.array_distinct(F.split("key", " ")))).select("entity_id", "block", "word").distinct()
-    pairs = rest.join(words, ["block", "word"]).select("mention_id", "mention_text", "mention_type", "entity_id").distinct().join(names.drop("block"), "entity_id")
-    return exact.union(scored(pairs, config).select("mention_id", "entity_id", "score"))
+    kind = lambda c: F.when(F.coalesce(F.col(c), F.lit("")) != "", F.concat(F.lit("t:"), normalize_text(F.col(c))))
+    asked = mentions.select("mention_id", "mention_text", F.col("entity_type").alias("mention_type"))
+    # Each fitting pair meets under one key: "all" for a blank mention, else the type or a blank entity.
+    block = kind("mention_type")
+    asked = asked.withColumn("block", F.explode(F.when(block.isNull(), F.array(F.lit("all"))).otherwise(F.array(block, F.lit("blank")))))
+    names = entities.select("entity_id", "name", "aliases", "entity_type")
+    names = names.withColumn("block", F.explode(F.array(F.lit("all"), F.coalesce(kind("entity_type"), F.lit("blank")))))
+    asked = asked.withColumn("salt", F.pmod(F.xxhash64("mention_id"), F.lit(SALTS)))
+    names = names.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))))
+    pairs = asked.join(names, ["block", "salt"]).drop("block", "salt")
+    needed = (min(config.ambiguous, config.resolved - config.margin) - config.semantic - config.graph - config.type) / config.lexical if config.lexical else 0.0
+    every = F.array_compact(F.concat(F.array("name"), F.coalesce("aliases", F.array().cast("array<string>"))))
+    lexical = let(token_sort_key(F.col("mention_text")), lambda key: F.array_max(F.transform(every, lambda n: indel_ratio(key, token_sort_key(n)))) / 100)
+    near = pairs.filter(lexical >= needed - 1e-9)
+    return scored(near, config).select("mention_id", "entity_id", "score")
 
 
 def resolve_or_create(mentions: DataFrame) -> DataFrame:

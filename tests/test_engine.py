@@ -131,6 +131,19 @@ def test_search(spark, golden):
     assert raw == sorted(raw, reverse=True) and raw[0] > 1
 
 
+def test_mentions_meet_all_entities_of_their_type(spark):
+    entities = spark.createDataFrame([("m", "client", "Metro", ["Metro"]), ("n", "client", "Northern Rail", None), ("b", None, "Metra", None), ("p", "project", "Metro", None)], "entity_id string, entity_type string, name string, aliases array<string>")
+    mentions = spark.createDataFrame([("1", "Metrro", "client"), ("2", "Metro", None), ("3", "Nothern Rail", ""), ("4", "qzj", "client")], "mention_id string, mention_text string, entity_type string")
+    got = {(r.mention_id, r.entity_id): r.score for r in resolve.resolve_mentions(mentions, entities).collect()}
+    pairs = mentions.select("mention_id", "mention_text", F.col("entity_type").alias("mention_type")).crossJoin(entities)
+    fits = "coalesce(mention_type, '') = '' or coalesce(entity_type, '') = '' or mention_type = entity_type"
+    want = {(r.mention_id, r.entity_id): r.score for r in resolve.scored(pairs.filter(fits)).collect()}
+    assert got.items() <= want.items() and {k for k, v in want.items() if v >= 0.55} <= set(got)
+    status = {(r.mention_id, r.entity_id): r.status for r in resolve.finalize(resolve.resolve_mentions(mentions, entities), ["mention_id"]).collect()}
+    assert status["1", "m"] == "ambiguous" and status["2", "m"] == status["2", "p"] == "ambiguous" and ("3", "n") in status
+    assert not any(m == "4" for m, _ in status)
+
+
 def brute_hybrid(rows, query, k):
     def words(t):
         return " ".join(sorted(re.findall(r"[^\W_]+", t.lower())))
