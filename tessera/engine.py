@@ -181,7 +181,7 @@ class Engine:
         """Answer a list of questions and write the submission; unresolved ones are 0."""
         rows = []
         for q in questions.select("qid", "question", "answer_type").collect():
-            value = self.ask(q["question"], planner).value
-            number = len(value) if isinstance(value, list) and q["answer_type"] == "count" else value
+            found = self.ask(q["question"], planner)
+            number = found.count if found.count is not None and q["answer_type"] == "count" else found.value
             rows.append((q["qid"], float(number) if isinstance(number, (int, float)) else None, q["answer_type"]))
         writers.write_submission(self.spark.createDataFrame(rows, "question_id string, value double, answer_type string"), path)

@@ -62,7 +62,7 @@ def _compile(op: Operation, bound: dict[str, Binding], world: World, parity: boo
             rows = search.candidates(world.evidence, world.facts)
             return Binding("evidence", search.hybrid(rows, p["query"], p.get("limit", 10)).withColumnRenamed("source_id", "evidence_id"))
         case "DISCOVER":
-            limit = min(p.get("limit", 15), 50)
+            limit = p.get("limit", 15)
             rows = search.candidates(world.evidence, world.facts)
             return Binding("documents", search.discover(search.hybrid(rows, p["query"], max(4 * limit, 40)), limit))
         case "TRAVERSE":

@@ -36,22 +36,26 @@ class Answer:
     steps: list[Step]
     evidence: list[str]
     iterations: int = 1
+    #: Rows of a list result, of which ``value`` shows a part.
+    count: int | None = None
 
 
 def _observe(op_type: str, var: str, bound: Binding) -> Step:
-    """The status of a step from one pass: its rows, and a bounded few of its evidence ids."""
+    """The status of a step, from all its rows, and a bounded few of its evidence ids."""
     df = bound.df
     evidence = F.lit(None).cast("string")
     if "evidence_ids" in df.columns:
         evidence = F.get("evidence_ids", F.lit(0))
     elif "evidence_id" in df.columns:
         evidence = F.col("evidence_id")
-    flags = [F.count("*").alias("n"), F.slice(F.array_sort(F.collect_set(evidence)), 1, CITATIONS).alias("e") if bound.kind not in ("entities",) or op_type in EVIDENCE else F.array().cast("array<string>").alias("e")]
-    ambiguous = op_type == "RESOLVE_ENTITY"
-    flags.append(F.coalesce(F.bool_or(F.col("status") == "ambiguous"), F.lit(False)).alias("a") if ambiguous else F.lit(False).alias("a"))
-    # One id per row suffices to cite; the set is cut down before it is gathered.
-    some = df.limit(1000) if op_type in EVIDENCE and bound.kind != "scalar" else df
-    row = some.agg(*flags).first()
+    flags = [F.count("*").alias("n")]
+    flags.append(F.coalesce(F.bool_or(F.col("status") == "ambiguous"), F.lit(False)).alias("a") if op_type == "RESOLVE_ENTITY" else F.lit(False).alias("a"))
+    row = df.agg(*flags).first()
+    cited = []
+    if bound.kind != "entities" or op_type in EVIDENCE:
+        # One id per row suffices to cite; the least few are taken without gathering the set.
+        ids = df.select(evidence.alias("e")).filter("e is not null").distinct()
+        cited = [r["e"] for r in ids.orderBy("e").limit(CITATIONS).collect()]
     note, status = "; ".join(bound.warnings), "ok" if row["n"] else "empty"
     if row["a"]:
         status = "ambiguous"
@@ -60,7 +64,7 @@ def _observe(op_type: str, var: str, bound: Binding) -> Step:
         status = "ok" if value is not None and value["value"] is not None else "empty"
         if op_type == "CHECK_COMPLETENESS" and value is not None and not value["complete"]:
             status, note = "incomplete", str(value.asDict())
-    return Step(var, op_type, status, row["n"], list(row["e"] or []), note)
+    return Step(var, op_type, status, row["n"], cited, note)
 
 
 def execute(plan: QueryPlan, world: World) -> tuple[dict[str, Binding], list[Step]]:
@@ -114,11 +118,12 @@ def answer(plan: QueryPlan, world: World, evidence_limit: int = 30) -> Answer:
     failed = any(s.status == "failed" for s in steps if s.output_var == plan.final)
     value = None if failed else _value(bound[plan.final], evidence_limit)
     evidence = sorted({e for s in steps if s.output_var in plan.ancestors() for e in s.evidence_ids})[:CITATIONS]
+    count = bound[plan.final].df.count() if isinstance(value, list) else None
     if value in (None, [], {}):
-        return Answer(value, "insufficient_evidence", 0.0, issues, steps, evidence)
+        return Answer(value, "insufficient_evidence", 0.0, issues, steps, evidence, count=count)
     if issues:
-        return Answer(value, "unverified", 0.4, issues, steps, evidence)
-    return Answer(value, "verified", 1.0, issues, steps, evidence)
+        return Answer(value, "unverified", 0.4, issues, steps, evidence, count=count)
+    return Answer(value, "verified", 1.0, issues, steps, evidence, count=count)
 
 
 #: A planner: from the question, the schema and the issues so far to a plan, or None.

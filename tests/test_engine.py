@@ -1,5 +1,6 @@
 """Plans, the golden scenario, ETL, storage, SQL and streams."""
 
+import dataclasses
 import hashlib
 import itertools
 import json
@@ -144,6 +145,20 @@ def test_mentions_meet_all_entities_of_their_type(spark):
     assert not any(m == "4" for m, _ in status)
 
 
+def test_counts_are_of_the_whole_result(spark, golden, tmp_path):
+    n = 1200
+    many = spark.range(n).select(F.format_string("x%05d", "id").alias("entity_id"), F.lit("project").alias("entity_type"), F.format_string("Site %d", "id").alias("name"))
+    entities = golden.entities.unionByName(many, allowMissingColumns=True)
+    edges = golden.relationships.union(many.select("entity_id", F.lit("commissioned_by"), F.lit("metro"), F.when(F.col("entity_id") == "x01100", "e1")))
+    world = dataclasses.replace(golden, entities=entities, relationships=edges)
+    plan = {"question": "q", "operations": [op("m", "RESOLVE_ENTITY", query="metro authority", entity_type="client"), op("t", "TRAVERSE", input_var="$m", predicate="commissioned by", direction="in")], "final_var": "$t"}
+    found = verify.answer(parse(plan), world)
+    assert found.count == n + 2 and len(found.value) == 30 and {s.output_var: s.count for s in found.steps}["t"] == n + 2
+    questions = spark.createDataFrame([("1", "q", "count")], "qid string, question string, answer_type string")
+    Engine(spark, world).answer_all(questions, verify.static_planner(plan), f"{tmp_path}/out")
+    assert f"{n + 2}" in "".join(p.read_text() for p in (tmp_path / "out").rglob("*.csv")) if (tmp_path / "out").is_dir() else f"{n + 2}" in (tmp_path / "out").read_text()
+
+
 def brute_hybrid(rows, query, k):
     def words(t):
         return " ".join(sorted(re.findall(r"[^\W_]+", t.lower())))
