@@ -119,8 +119,9 @@ def report(documents: DataFrame, evidence: DataFrame, facts: DataFrame) -> DataF
 
 
 def batches(evidence: DataFrame, size: int = 30) -> DataFrame:
-    """``evidence`` with its batch within its document."""
-    window = Window.partitionBy("document_id").orderBy("evidence_id")
+    """``evidence`` with its batch within its document: consecutive fragments, in reading order where a ``position`` tells it."""
+    order = ["position", "evidence_id"] if "position" in evidence.columns else ["evidence_id"]
+    window = Window.partitionBy("document_id").orderBy(*order)
     return evidence.withColumn("batch", F.floor((F.row_number().over(window) - 1) / size))
 
 

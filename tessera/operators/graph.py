@@ -8,7 +8,7 @@ from __future__ import annotations
 
 import itertools
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.functions.facts import stable_hex
@@ -32,8 +32,12 @@ def coarse_edges(facts: DataFrame) -> DataFrame:
     return rows[0].union(rows[1]).dropDuplicates(["subject_id", "predicate", "object_id", "evidence_id"])
 
 
-def one_hop(edges: DataFrame, start: DataFrame, direction: str = "out", predicates: list[str] | None = None) -> DataFrame:
-    """(entity_id, evidence_ids) of the neighbours of ``start`` (entity_id).
+#: Evidence ids that a neighbour shows; ``hop_edges`` has all of them.
+SHOWN = 10
+
+
+def hop_edges(edges: DataFrame, start: DataFrame, direction: str = "out", predicates: list[str] | None = None) -> DataFrame:
+    """Every edge that leads from ``start`` (entity_id) to a neighbour: from_id, entity_id, and the edge's other columns.
 
     An edge is oriented by the side that matched; inside the set it counts both ways.
     """
@@ -43,9 +47,19 @@ def one_hop(edges: DataFrame, start: DataFrame, direction: str = "out", predicat
         edges = edges.filter(F.col("predicate").isin(*predicates) if predicates else F.lit(False))
     sides = [(a, b) for a, b, d in (("subject_id", "object_id", "out"), ("object_id", "subject_id", "in")) if direction in (d, "both")]
     ids = start.select("entity_id").distinct()
-    hops = [edges.join(ids.withColumnRenamed("entity_id", a), a, "left_semi").select(F.col(b).alias("entity_id"), "evidence_id") for a, b in sides]
-    hops = hops[0] if len(hops) == 1 else hops[0].union(hops[1])
-    return hops.groupBy("entity_id").agg(F.sort_array(F.slice(F.collect_set("evidence_id"), 1, 10)).alias("evidence_ids"))
+    more = [c for c in edges.columns if c not in ("subject_id", "object_id")]
+    hops = [edges.join(ids.withColumnRenamed("entity_id", a), a, "left_semi").select(F.col(a).alias("from_id"), F.col(b).alias("entity_id"), *more) for a, b in sides]
+    return hops[0] if len(hops) == 1 else hops[0].union(hops[1])
+
+
+def one_hop(edges: DataFrame, start: DataFrame, direction: str = "out", predicates: list[str] | None = None) -> DataFrame:
+    """(entity_id, evidence_ids) of the neighbours of ``start`` (entity_id): each with the ``SHOWN`` least of its evidence ids.
+
+    The window keeps that many rows of a neighbour in each task before anything is shuffled, so a hub is never gathered.
+    """
+    hops = hop_edges(edges, start, direction, predicates).select("entity_id", "evidence_id").distinct()
+    least = hops.withColumn("n", F.row_number().over(Window.partitionBy("entity_id").orderBy(F.asc_nulls_last("evidence_id")))).filter(F.col("n") <= SHOWN)
+    return least.groupBy("entity_id").agg(F.sort_array(F.collect_list("evidence_id")).alias("evidence_ids"))
 
 
 def k_hop(edges: DataFrame, start: DataFrame, hops: int = 2) -> DataFrame:

@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessera.functions.text import normalize_text
 from tessera.kg import World
 from tessera.operators import graph, search
+from tessera.sources.scratch import cut
 
 NUMBER = "decimal(38,6)"
 ROW = ("entity_id", "predicate", "value", "value_number", "value_date", "evidence_ids", "source")
@@ -133,13 +136,23 @@ def aggregate(rows: DataFrame, function: str, kind: str = "rows", parity: bool =
 
 
 def ranked(rows: DataFrame, k: int | None = None) -> DataFrame:
-    """Rows by descending number with their place from 0; nulls aside.  With k, only the first k (no global sort)."""
-    some = rows.filter("value_number is not null").orderBy(F.desc("value_number"), "entity_id")
-    if k is None:
-        from pyspark.sql import Window
+    """Rows by descending number with their place from 0; nulls aside.
+
+    With k only the first k: each task keeps k rows.  Without, rows are dealt by
+    ranges of the order, and each range is numbered on its own after a count of those before it.
+    """
+    from pyspark.sql import Window
 
-        return some.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("value_number"), "entity_id")) - 1)
-    return some.limit(k)
+    order = (F.desc("value_number"), F.asc("entity_id"))
+    some = rows.filter("value_number is not null")
+    if k is not None:
+        return some.orderBy(*order).limit(k).withColumn("rank", F.row_number().over(Window.orderBy(*order)) - 1)
+    dealt = cut(some.repartitionByRange(*order).withColumn("__range", F.spark_partition_id()), "ranges")
+    # One row for each range.
+    sizes = dealt.groupBy("__range").agg(F.count("*").alias("__n"))
+    before = sizes.withColumn("__before", F.sum("__n").over(Window.orderBy("__range").rowsBetween(Window.unboundedPreceding, -1))).drop("__n")
+    numbered = dealt.withColumn("rank", F.row_number().over(Window.partitionBy("__range").orderBy(*order)) - 1)
+    return numbered.join(F.broadcast(before), "__range").withColumn("rank", F.col("rank") + F.coalesce("__before", F.lit(0))).drop("__range", "__before")
 
 
 def compute(operation: str, values: list[Column]) -> Column:
@@ -180,16 +193,36 @@ def completeness(world: World, entity_type: str, expected_min: int | None = None
     return counted.withColumn("complete", (F.col("unresolved_count") == 0) & (F.col("ambiguous_count") == 0) & (F.col("missing_count") == 0) & (F.col("count") >= (expected_min or 0)))
 
 
-def coverage(world: World, documents: DataFrame) -> DataFrame:
-    """One row of counts over the world's tables."""
+def coverage(world: World, documents: DataFrame, index: DataFrame | None = None) -> DataFrame:
+    """One row of counts over the world's tables, the documents that have facts or mentions, and the vectors of a stored index."""
     out = documents.agg(F.count("*").alias("documents"))
     for name in ("evidence", "facts", "entities", "relationships", "attributes", "mentions"):
         rows = getattr(world, name)
         out = out.withColumn(name, F.lit(0).cast("long")) if rows is None else out.crossJoin(rows.agg(F.count("*").alias(name)))  # one row each
-    return out
+    covered = [rows.select("document_id") for rows in (world.facts, world.mentions) if rows is not None]
+    out = out.crossJoin(reduce(DataFrame.union, covered).agg(F.count_distinct("document_id").alias("documents_covered"))) if covered else out.withColumn("documents_covered", F.lit(0).cast("long"))
+    return out.withColumn("vectors", F.lit(0).cast("long")) if index is None else out.crossJoin(index.agg(F.count("*").alias("vectors")))
 
 
-def provenance(world: World, entity_id: str) -> DataFrame:
-    """The evidence behind an entity: of its attributes and its edges."""
-    e = world.relationships.filter((F.col("subject_id") == entity_id) | (F.col("object_id") == entity_id)).select("evidence_id")
-    return world.attributes.filter(F.col("entity_id") == entity_id).select("evidence_id").union(e).distinct()
+def provenance(world: World, entity_id: str | None = None, relationship_id: str | None = None, evidence_id: str | None = None, fact_id: str | None = None) -> DataFrame:
+    """(via, via_id, evidence_id, document_id, text): what an entity, a relationship, a fact or a piece of evidence rests on.
+
+    An entity rests on its mentions, its attributes and its edges; ``via`` names which.
+    """
+    if sum(x is not None for x in (entity_id, relationship_id, evidence_id, fact_id)) != 1:
+        raise ValueError("provenance is of one entity, relationship, evidence or fact")
+    via = lambda rows, kind, key: rows.select(F.lit(kind).alias("via"), (F.col(key) if key in rows.columns else F.lit(None)).cast("string").alias("via_id"), "evidence_id")
+    edges = world.relationships
+    if entity_id is not None:
+        parts = [via(world.attributes.filter(F.col("entity_id") == entity_id), "attribute", "attribute_id"), via(edges.filter((F.col("subject_id") == entity_id) | (F.col("object_id") == entity_id)), "relationship", "relationship_id")]
+        if world.mentions is not None and "evidence_id" in world.mentions.columns:
+            parts.append(via(world.mentions.filter(F.col("entity_id") == entity_id), "mention", "mention_id"))
+        found = reduce(DataFrame.union, parts)
+    elif relationship_id is not None:
+        found = via(edges.filter(F.col("relationship_id") == relationship_id), "relationship", "relationship_id")
+    elif fact_id is not None:
+        found = via(world.facts.filter(F.col("fact_id") == fact_id), "fact", "fact_id")
+    else:
+        found = via(world.evidence.filter(F.col("evidence_id") == evidence_id), "evidence", "evidence_id")
+    text = F.col("text") if "raw_value" not in world.evidence.columns else F.coalesce(F.nullif("text", F.lit("")), "raw_value")
+    return found.distinct().join(world.evidence.select("evidence_id", "document_id", text.alias("text")), "evidence_id", "left").select("via", "via_id", "evidence_id", "document_id", "text")

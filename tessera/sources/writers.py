@@ -22,14 +22,24 @@ def upsert(rows: DataFrame, root: str, name: str, key: str) -> None:
     The table has two generations; the one not in use is written, then named in
     a marker, so a job that dies leaves the old table as it was.
     """
+    old = keyed(rows.sparkSession, root, name)
+    # Of rows with equal keys in one call the choice depends on their content alone, not on where they were computed.
+    fresh = latest(rows, key, F.struct(*[F.col(c).cast("string") for c in rows.columns]))
+    replace(fresh if old is None else old.join(fresh.select(key), key, "left_anti").unionByName(fresh, allowMissingColumns=True), root, name)
+
+
+def replace(rows: DataFrame, root: str, name: str) -> None:
+    """Write a new generation of a table, name it in the marker, and remove those before the last."""
     spark = rows.sparkSession
     at = current(spark, root, name)
-    old = spark.read.parquet(at) if at else None
-    fresh = latest(rows.withColumn("__v", F.monotonically_increasing_id()), key, F.col("__v")).drop("__v")
-    merged = fresh if old is None else old.join(fresh.select(key), key, "left_anti").unionByName(fresh, allowMissingColumns=True)
+    merged = rows
     generation = 0 if at is None else int(at.rsplit("-", 1)[1]) + 1
     merged.write.mode("overwrite").parquet(f"{root}/{name}/generation-{generation}")
     spark.createDataFrame([(generation,)], "generation int").coalesce(1).write.mode("overwrite").json(f"{root}/{name}/current")
+    # The last one stays for those who read it.
+    if generation > 1:
+        old = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{root}/{name}/generation-{generation - 2}")
+        old.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(old, True)
 
 
 def current(spark: SparkSession, root: str, name: str) -> str | None:

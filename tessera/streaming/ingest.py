@@ -43,11 +43,11 @@ def ingest_events(spark: SparkSession, path: str, root: str, key: str = "event_i
     query.awaitTermination()
 
 
-def keyed_table(spark: SparkSession, root: str, key: str = "event_id") -> DataFrame:
-    """The latest row of each key over all batches."""
+def keyed_table(spark: SparkSession, root: str, key: str = "event_id", version: str = "ts") -> DataFrame:
+    """The row of the highest version of each key over all batches, whenever it came; of equal versions that of the last batch."""
     rows = spark.read.option("basePath", f"{root}/batches").parquet(f"{root}/batches")
     columns = [c for c in rows.columns if c != "batch"]
-    return rows.groupBy(key).agg(F.max_by(F.struct(*columns), "batch").alias("r")).select("r.*")
+    return rows.groupBy(key).agg(F.max_by(F.struct(*columns), F.struct(version, "batch")).alias("r")).select("r.*")
 
 
 def windowed_counts(stream: DataFrame, time: str = "ts", late: str = "10 minutes", width: str = "5 minutes", by: str = "event_type") -> DataFrame:
