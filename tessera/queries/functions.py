@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from tessera.functions import facts, normalize, text, vectors
 from tessera.kg import table, world
-from tessera.operators import graph, resolve, search
+from tessera.operators import evidence as etl
+from tessera.operators import graph, relational, resolve, search
 from tessera.sources import writers
 
 _PRICE = "CAST(o_totalprice AS DECIMAL(18,2))"
@@ -84,7 +85,7 @@ def predicate_match(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def hash_embedding(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = table(spark, sf_dir, "part").select("p_name").distinct().select("p_name", vectors.hash_embedding(F.col("p_name"), 16).alias("v"))
+    rows = table(spark, sf_dir, "part").select("p_name").distinct().select("p_name", vectors.hash_embedding(F.col("p_name")).alias("v"))
     return rows.select("p_name", F.posexplode("v").alias("i", "x")).select("p_name", "i", F.round("x", 6).alias("x"))
 
 
@@ -142,16 +143,18 @@ def upsert_latest(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def incremental_new(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents whose content isn't in the state of an earlier run."""
-    d = table(spark, sf_dir, "documents").select("doc_id", F.sha2(F.col("text").cast("binary"), 256).alias("checksum"))
-    state = d.filter("doc_id % 3 = 0").select("checksum").distinct()
-    return d.join(state, "checksum", "left_anti").select("doc_id")
+    """Documents that the state of an earlier run, which had taken in those with a label, doesn't hold with this content."""
+    d = table(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("document_id"), F.sha2(F.col("text").cast("binary"), 256).alias("checksum"), "doc_id")
+    labels = table(spark, sf_dir, "labels").select("doc_id", "toxic")
+    # Of toxic ones the state holds another content.
+    state = d.join(labels, "doc_id").select("document_id", F.when(F.col("toxic") == 1, F.lit("changed")).otherwise(F.col("checksum")).alias("checksum"))
+    return etl.unchanged(d, state).select("doc_id")
 
 
 def conflicts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Orders for which documents state several return flags."""
-    rows = table(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.count_distinct("l_returnflag").alias("n_values"))
-    return rows.filter("n_values > 1")
+    """Orders whose lines state several return flags."""
+    rows = table(spark, sf_dir, "lineitem").select("l_orderkey", F.col("l_orderkey").cast("string").alias("document_id"), F.lit("return_flag").alias("predicate"), F.col("l_returnflag").alias("normalized_value"))
+    return etl.conflicting(rows).select(F.col("document_id").cast("long").alias("l_orderkey"), "n_values")
 
 
 def stable_id(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -164,8 +167,10 @@ def fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def report_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = _spellings(spark, sf_dir).select(normalize.money(F.col("money"))["status"].alias("status"))
-    return rows.agg(F.count("*").alias("facts"), F.count_if(F.col("status") == "valid").alias("valid"), F.count_if(F.col("status") == "failed").alias("failed"))
+    """A build's report, over orders as documents with their lines as evidence and the spellings of their prices as facts."""
+    value = normalize.money(F.col("money"))
+    rows = _spellings(spark, sf_dir).select(F.col("o_orderkey").cast("string").alias("document_id"), F.lit("price").alias("predicate"), F.coalesce(value["value"], F.col("money")).alias("normalized_value"), F.when(value["status"] == "valid", "currency_inr").otherwise("text").alias("normalized_type"))
+    return etl.report(table(spark, sf_dir, "orders"), table(spark, sf_dir, "lineitem"), rows)
 
 
 def type_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -190,15 +195,15 @@ def token_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def chunk_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Fragments of a document in batches of three."""
-    window = Window.partitionBy("conv_id").orderBy("turn")
-    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", F.floor((F.row_number().over(window) - 1) / 3).alias("batch"))
-    return rows.groupBy("conv_id", "batch").agg(F.count("*").alias("n"))
+    """Turns of a conversation, as fragments of a document, in batches of three."""
+    rows = table(spark, sf_dir, "conversations").select("conv_id", F.col("conv_id").cast("string").alias("document_id"), F.concat_ws(":", "conv_id", "turn").alias("evidence_id"), F.col("turn").alias("position"))
+    return etl.batches(rows, 3).groupBy("conv_id", "batch").agg(F.count("*").alias("n"), F.min("position").cast("long").alias("first_turn"))
 
 
 def rank_desc(spark: SparkSession, sf_dir: str) -> DataFrame:
-    window = Window.partitionBy("o_custkey").orderBy(F.desc("o_totalprice"), "o_orderkey")
-    return table(spark, sf_dir, "orders").select("o_custkey", "o_orderkey", (F.row_number().over(window) - 1).alias("rank"))
+    """The ten dearest orders, by their place."""
+    rows = table(spark, sf_dir, "orders").select("o_orderkey", F.lpad(F.col("o_orderkey").cast("string"), 20, "0").alias("entity_id"), F.col("o_totalprice").cast("decimal(38,6)").alias("value_number"))
+    return relational.ranked(rows, 10).select("o_orderkey", "rank")
 
 
 QUERIES = {f.__name__: f for f in (normalize_money, normalize_date, normalize_percent, normalize_unit, infer, header_predicate, text_normalize, exact_lookup, fuzzy_ratio, fuzzy_topk, predicate_match, hash_embedding, cosine_topk, hybrid_topk, resolve_status, resolve_or_create, k_hop, shortest_path, graph_counts, upsert_latest, incremental_new, conflicts, stable_id, fingerprint, report_counts, type_histogram, shape_score, column_index, token_coverage, chunk_batches, rank_desc)}
@@ -233,8 +238,8 @@ WITH n AS (SELECT DISTINCT p_name, {_SORTED} AS k, 'green small wdget' AS q FROM
 r AS (SELECT p_name, round(200.0::DOUBLE * {_LCS.format(a='k', b='q')} / (len(k) + len(q)), 6) AS score FROM n)
 SELECT p_partkey AS source_id, p_name AS text, score FROM part JOIN r USING (p_name) WHERE score >= 30 ORDER BY score DESC, p_partkey LIMIT 10""",
     "hash_embedding": """
-WITH t AS (SELECT DISTINCT p_name, sha256(p_name || ':0') || sha256(p_name || ':1') AS h FROM part),
-r AS (SELECT p_name, i, ('0x' || substr(h, i * 8 + 1, 8))::BIGINT / 4294967295.0::DOUBLE * 2.0 - 1.0 AS x FROM t, range(16) AS s(i))
+WITH t AS (SELECT DISTINCT p_name, list_reduce(list_transform(range(48), lambda k: sha256(p_name || ':' || k)), lambda x, y: x || y) AS h FROM part),
+r AS (SELECT p_name, i, ('0x' || substr(h, i * 8 + 1, 8))::BIGINT / 4294967295.0::DOUBLE * 2.0 - 1.0 AS x FROM t, range(384) AS s(i))
 SELECT p_name, CAST(i AS INT) AS i, round(x / sqrt(sum(x * x) OVER (PARTITION BY p_name)), 6) AS x FROM r""",
     "cosine_topk": """
 WITH e AS (SELECT vec_id, embedding::DOUBLE[] AS v FROM embeddings),
@@ -247,15 +252,15 @@ SELECT query_id, vec_id, score, CAST(rank AS INT) AS rank FROM (SELECT *, row_nu
     "shortest_path": "SELECT 'order:' || o_orderkey || '>customer:' || c_custkey || '>nation:' || n_nationkey || '>region:' || n_regionkey AS path, 3::BIGINT AS length FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey WHERE o_orderkey = (SELECT min(o_orderkey) FROM orders)",
     "graph_counts": "SELECT (SELECT count(*) FROM region) + (SELECT count(*) FROM nation) + (SELECT count(*) FROM customer) + (SELECT count(*) FROM supplier) + (SELECT count(*) FROM part) + (SELECT count(*) FROM orders) AS nodes, (SELECT count(*) FROM orders) + (SELECT count(*) FROM customer) + (SELECT count(*) FROM supplier) + (SELECT count(*) FROM nation) + 2 * (SELECT count(*) FROM lineitem) AS edges",
     "upsert_latest": "SELECT user_id, event_id, event_type FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS n FROM events) WHERE n = 1",
-    "incremental_new": "SELECT doc_id FROM documents WHERE text NOT IN (SELECT text FROM documents WHERE doc_id % 3 = 0)",
-    "conflicts": "SELECT l_orderkey, count(DISTINCT l_returnflag) AS n_values FROM lineitem GROUP BY l_orderkey HAVING count(DISTINCT l_returnflag) > 1",
+    "incremental_new": "SELECT doc_id FROM documents d WHERE NOT EXISTS (SELECT 1 FROM labels l WHERE l.doc_id = d.doc_id AND (l.toxic IS NULL OR l.toxic <> 1))",
+    "conflicts": "SELECT CAST(l_orderkey AS BIGINT) AS l_orderkey, count(DISTINCT l_returnflag) AS n_values FROM lineitem GROUP BY l_orderkey HAVING count(DISTINCT l_returnflag) > 1",
     "stable_id": "SELECT c_custkey, sha256('entity' || c_mktsegment || c_name) AS id FROM customer",
     "fingerprint": "SELECT sha256(string_agg(h, '' ORDER BY h)) AS fingerprint FROM (SELECT sha256(n_name || ':' || sha256(CAST(n_regionkey AS VARCHAR))) AS h FROM nation)",
-    "report_counts": "SELECT count(*) AS facts, count(*) FILTER (WHERE o_orderkey % 6 <> 5) AS valid, count(*) FILTER (WHERE o_orderkey % 6 = 5) AS failed FROM orders",
+    "report_counts": "SELECT count(*) AS documents_processed, (SELECT count(*) FROM lineitem) AS evidence_created, count(*) AS facts_created, count(*) FILTER (WHERE o_orderkey % 6 <> 5) AS normalization_successes, count(*) FILTER (WHERE o_orderkey % 6 = 5) AS unsupported_values, 0::BIGINT AS conflicting_facts FROM orders",
     "type_histogram": "SELECT 'region' AS type, count(*) AS n FROM region UNION ALL SELECT 'nation', count(*) FROM nation UNION ALL SELECT 'customer', count(*) FROM customer UNION ALL SELECT 'supplier', count(*) FROM supplier UNION ALL SELECT 'part', count(*) FROM part UNION ALL SELECT 'order', count(*) FROM orders",
     "shape_score": "SELECT o_orderpriority AS shape, CAST(count(*) FILTER (WHERE CAST(o_totalprice AS DECIMAL(18,2)) <= 100000) AS DOUBLE) AS score, count(*) AS n FROM orders GROUP BY 1",
     "column_index": "WITH p AS (SELECT p_partkey, upper(substr(regexp_replace(p_name, '[^a-z]', '', 'g'), 1, 2)) AS s FROM part) SELECT p_partkey, CAST((ascii(s) - 64) * 26 + ascii(substr(s, 2, 1)) - 64 AS INT) AS \"column\", CAST(p_partkey AS INT) AS row FROM p",
     "token_coverage": "WITH p AS (SELECT p_partkey, list_distinct(string_split(" + _NORMAL.format("p_name") + ", ' ')) AS w FROM part) SELECT p_partkey, round(len(list_intersect(w, ['small', 'red', 'green', 'widget'])) / len(w), 6) AS coverage FROM p",
-    "chunk_batches": "SELECT conv_id, batch, count(*) AS n FROM (SELECT conv_id, CAST((row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1) // 3 AS BIGINT) AS batch FROM conversations) GROUP BY ALL",
-    "rank_desc": "SELECT o_custkey, o_orderkey, CAST(row_number() OVER (PARTITION BY o_custkey ORDER BY o_totalprice DESC, o_orderkey) - 1 AS INT) AS rank FROM orders",
+    "chunk_batches": "SELECT conv_id, batch, count(*) AS n, CAST(min(turn) AS BIGINT) AS first_turn FROM (SELECT conv_id, turn, CAST((row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1) // 3 AS BIGINT) AS batch FROM conversations) GROUP BY ALL",
+    "rank_desc": "SELECT o_orderkey, CAST(row_number() OVER (ORDER BY CAST(o_totalprice AS DECIMAL(38,6)) DESC, o_orderkey) - 1 AS INT) AS rank FROM orders ORDER BY rank LIMIT 10",
 }

@@ -191,9 +191,9 @@ QUERIES = {
     "calculate_all": calculate_all,
     "filter_eq": filters("size", "eq", 10),
     "filter_neq": filters("brand", "neq", "Brand#11"),
-    "filter_gt": filters("retail_price", "gt", 1500),
-    "filter_gte": filters("retail_price", "gte", 1500),
-    "filter_lt": filters("retail_price", "lt", 1000),
+    "filter_gt": filters("retail_price", "gt", 949.9),
+    "filter_gte": filters("retail_price", "gte", 949.9),
+    "filter_lt": filters("retail_price", "lt", 949.9),
     "filter_lte": filters("size", "lte", 5),
     "filter_contains": filters("name", "contains", "RE"),
     "filter_in": filters("brand", "in", ["Brand#11", "Brand#22"]),
@@ -241,9 +241,9 @@ UNION ALL SELECT 'attributes', count(*), count(DISTINCT o_orderkey), CAST(sum({_
     "calculate_all": f"SELECT round(CAST(sum({_NUM}) AS DOUBLE), 4) AS sum, round(CAST(sum({_NUM}) AS DOUBLE) / count(*), 4) AS avg, round(CAST(min({_NUM}) AS DOUBLE), 4) AS min, round(CAST(max({_NUM}) AS DOUBLE), 4) AS max, CAST(count(*) AS DOUBLE) AS count, round(CAST(median({_NUM}) AS DOUBLE), 4) AS median FROM orders",
     "filter_eq": _PART + "p_size = 10",
     "filter_neq": _PART + "p_brand IS DISTINCT FROM 'Brand#11'",
-    "filter_gt": _PART + "p_retailprice > 1500",
-    "filter_gte": _PART + "p_retailprice >= 1500",
-    "filter_lt": _PART + "p_retailprice < 1000",
+    "filter_gt": _PART + "CAST(p_retailprice AS DECIMAL(18,2)) > 949.9",
+    "filter_gte": _PART + "CAST(p_retailprice AS DECIMAL(18,2)) >= 949.9",
+    "filter_lt": _PART + "CAST(p_retailprice AS DECIMAL(18,2)) < 949.9",
     "filter_lte": _PART + "p_size <= 5",
     "filter_contains": _PART + "contains(lower(p_name), 're')",
     "filter_in": _PART + "p_brand IN ('Brand#11', 'Brand#22')",

@@ -12,7 +12,7 @@ from tessera.plans import sql
 from tessera.sources.scratch import folder
 from tessera.streaming import ingest
 
-TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "labels", "conversations")
+TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "pages", "labels", "conversations")
 _D = "CAST({} AS DECIMAL(18,2))"
 _SUM = "CAST(sum(CAST(o_totalprice AS DECIMAL(18,2))) AS DOUBLE)"
 
@@ -21,7 +21,7 @@ SHARED: dict[str, str | tuple[str, str]] = {
     "sql_join_inner": f"SELECT n_name, count(*) AS n, {_SUM} AS total FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey GROUP BY n_name",
     "sql_join_left": "SELECT c_custkey, count(o_orderkey) AS n FROM customer LEFT JOIN orders ON o_custkey = c_custkey GROUP BY c_custkey",
     "sql_join_right": "SELECT c_custkey, count(o_orderkey) AS n FROM orders RIGHT JOIN customer ON o_custkey = c_custkey GROUP BY c_custkey",
-    "sql_join_full": "SELECT d.doc_id AS a, l.doc_id AS b FROM (SELECT * FROM documents WHERE doc_id % 2 = 0) d FULL JOIN labels l ON d.doc_id = l.doc_id",
+    "sql_join_full": "SELECT p.page_id AS a, l.doc_id AS b FROM pages p FULL JOIN labels l ON p.page_id = l.doc_id",
     "sql_join_semi": ("SELECT o_orderkey FROM orders LEFT SEMI JOIN lineitem ON o_orderkey = l_orderkey", "SELECT o_orderkey FROM orders SEMI JOIN lineitem ON o_orderkey = l_orderkey"),
     "sql_join_anti": ("SELECT o_orderkey FROM orders LEFT ANTI JOIN lineitem ON o_orderkey = l_orderkey", "SELECT o_orderkey FROM orders ANTI JOIN lineitem ON o_orderkey = l_orderkey"),
     "sql_join_using": "SELECT doc_id, quality, toxic FROM documents JOIN labels USING (doc_id)",
@@ -43,6 +43,14 @@ SHARED: dict[str, str | tuple[str, str]] = {
     "sql_union": "SELECT c_nationkey AS k FROM customer UNION SELECT s_nationkey FROM supplier",
     "sql_union_all": "SELECT k, count(*) AS n FROM (SELECT c_nationkey AS k FROM customer UNION ALL SELECT s_nationkey FROM supplier) GROUP BY k",
     "sql_intersect": "SELECT o_custkey AS k FROM orders INTERSECT SELECT c_custkey FROM customer WHERE c_acctbal > 5000",
+    "sql_intersect_all": "SELECT c_nationkey AS k FROM customer INTERSECT ALL SELECT s_nationkey FROM supplier",
+    "sql_join_cross": "SELECT r_name, n_name FROM region CROSS JOIN nation",
+    "sql_window_range": "SELECT event_id, count(*) OVER (PARTITION BY user_id ORDER BY ts RANGE BETWEEN INTERVAL 1 DAY PRECEDING AND CURRENT ROW) AS n FROM events",
+    "sql_window_first_last": "SELECT o_orderkey, first_value(o_orderkey) OVER w AS first_key, last_value(o_orderkey) OVER w AS last_key FROM orders WINDOW w AS (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING)",
+    "sql_quantile": ("SELECT o_orderpriority, round(percentile(CAST(o_totalprice AS DOUBLE), 0.25), 4) AS q FROM orders GROUP BY o_orderpriority", "SELECT o_orderpriority, round(quantile_cont(CAST(o_totalprice AS DOUBLE), 0.25), 4) AS q FROM orders GROUP BY o_orderpriority"),
+    "sql_mode": ("SELECT max(n) AS n, min_by(c_mktsegment, struct(-n, c_mktsegment)) AS segment FROM (SELECT c_mktsegment, count(*) AS n FROM customer GROUP BY c_mktsegment)", "SELECT max(n) AS n, arg_min(c_mktsegment, {'n': -n, 's': c_mktsegment}) AS segment FROM (SELECT c_mktsegment, count(*) AS n FROM customer GROUP BY c_mktsegment)"),
+    "sql_map": ("SELECT c_custkey, m['a'] AS a, size(m) AS n FROM (SELECT c_custkey, map('a', c_nationkey, 'b', c_custkey) AS m FROM customer)", "SELECT c_custkey, m['a'] AS a, CAST(cardinality(m) AS INT) AS n FROM (SELECT c_custkey, MAP {'a': c_nationkey, 'b': c_custkey} AS m FROM customer)"),
+    "sql_json": ("SELECT c_custkey, CAST(get_json_object(to_json(named_struct('k', c_custkey, 's', c_mktsegment)), '$.k') AS BIGINT) AS k, get_json_object(to_json(named_struct('k', c_custkey, 's', c_mktsegment)), '$.s') AS s FROM customer", "SELECT c_custkey, CAST(c_custkey AS BIGINT) AS k, c_mktsegment AS s FROM customer"),
     "sql_except": "SELECT doc_id FROM documents EXCEPT SELECT doc_id FROM labels",
     "sql_except_all": "SELECT c_nationkey AS k FROM customer EXCEPT ALL SELECT s_nationkey FROM supplier",
     "sql_recursive": "WITH RECURSIVE t(n) AS (SELECT 1 UNION ALL SELECT n + 1 FROM t WHERE n < 20) SELECT CAST(sum(n) AS BIGINT) AS total FROM t",
