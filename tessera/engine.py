@@ -2,41 +2,64 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Callable, Mapping, Sequence
 from typing import Any
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera import kg
+from tessera.functions.vectors import hash_embedding
 from tessera.operators import evidence as etl
-from tessera.operators import graph, relational, resolve, search
+from tessera.operators import graph, index, relational, resolve, search
 from tessera.plans import sql, verify
 from tessera.plans.compile import compile_plan
 from tessera.plans.ir import QueryPlan, parse
-from tessera.sources import readers, writers
+from tessera.sources import readers, workbook, writers
 from tessera.sources.schema import KEYS, TABLES
+from tessera.sources.scratch import cut
+
+#: From fragments (document_id, batch, evidence_id, text) to answers (document_id, batch, answer JSON).
+Extractor = Callable[[DataFrame], DataFrame]
 
 
 class Engine:
     """A world, as tables of a session or kept under a folder."""
 
-    def __init__(self, spark: SparkSession, world: kg.World, root: str | None = None):
-        self.spark, self.world, self.root = spark, world, root
+    def __init__(self, spark: SparkSession, world: kg.World, root: str | None = None, embed: index.Embedder = hash_embedding, extractor: Extractor | None = None):
+        self.spark, self.world, self.root, self.embed, self.extractor = spark, world, root, embed, extractor
 
     @classmethod
-    def open(cls, spark: SparkSession, root: str) -> Engine:
+    def open(cls, spark: SparkSession, root: str, **options: Any) -> Engine:
         """The world that ``build`` keeps under a folder; missing tables are empty."""
         tables = {name: writers.keyed(spark, root, name) for name in TABLES}
         tables = {n: t if t is not None else spark.createDataFrame([], TABLES[n]) for n, t in tables.items()}
         world = kg.World(entities=tables["entities"], relationships=tables["relationships"], attributes=tables["attributes"], evidence=tables["evidence"], facts=tables["facts"], mentions=tables["mentions"])
-        return cls(spark, world, root)
+        return cls(spark, world, root, **options)
 
     @classmethod
-    def build(cls, spark: SparkSession, results: str, root: str, force: bool = False) -> Engine:
+    def build(cls, spark: SparkSession, results: str, root: str, force: bool = False, document_index: str | None = None) -> Engine:
         """Evidence and facts of an extraction result; documents that didn't change are skipped."""
-        documents, _ = readers.extraction(spark, results)
+        documents, failures = readers.extraction(spark, results)
+        return cls._take_in(documents, failures, root, force, document_index)
+
+    @classmethod
+    def ingest(cls, spark: SparkSession, folder: str, root: str, force: bool = False, document_index: str | None = None) -> Engine:
+        """The readable files below a folder, read, and built into evidence and facts."""
+        documents, failures = workbook.extract(readers.files(spark, folder))
+        path = f"{root}/extraction"
+        # Read once: files are parsed for every use of a plan that isn't written.
+        documents.write.mode("overwrite").parquet(f"{path}/documents")
+        failures.write.mode("overwrite").parquet(f"{path}/failures")
+        documents = spark.read.parquet(f"{path}/documents").withColumn("workbook_id", F.col("document_id"))
+        return cls._take_in(documents, spark.read.parquet(f"{path}/failures"), root, force, document_index)
+
+    @classmethod
+    def _take_in(cls, documents: DataFrame, failures: DataFrame, root: str, force: bool, document_index: str | None) -> Engine:
+        spark = documents.sparkSession
         documents = documents.withColumn("document_id", F.coalesce("document_id", "workbook_id")).withColumn("checksum", F.sha2(F.to_json(F.struct("pages", "sheets")).cast("binary"), 256))
+        if document_index:
+            documents = readers.with_document_type(documents, readers.document_index(spark, document_index))
         state = writers.keyed(spark, root, "state")
         fresh = documents if force or state is None else etl.unchanged(documents, state)
         found = etl.build_evidence(fresh).persist()
@@ -47,7 +70,30 @@ class Engine:
             writers.upsert(facts, root, "facts", "fact_id")
             writers.upsert(fresh.select("document_id", "checksum"), root, "state", "document_id")
         found.unpersist()
-        return cls.open(spark, root)
+        engine = cls.open(spark, root)
+        counts = etl.report(documents, engine.world.evidence, engine.world.facts)
+        writers.write_report(counts.crossJoin(failures.agg(F.count("*").alias("documents_failed"))), f"{root}/report")  # one row each
+        return engine
+
+    def refresh_index(self) -> int:
+        """Embed what the stored vector index doesn't hold yet; the number of texts embedded."""
+        return index.refresh(self._rows(), self.root, self.embed)
+
+    def extract_documents(self, documents: DataFrame, batch_size: int = 30) -> Engine:
+        """Let the extractor read some documents (document_id); those it has read before are skipped."""
+        if self.extractor is None:
+            raise ValueError("there is no extractor")
+        covered = writers.keyed(self.spark, self.root, "covered")
+        ids = documents.select("document_id").distinct()
+        ids = ids if covered is None else ids.join(covered, "document_id", "left_anti")
+        ids = cut(ids.join(self.world.evidence.select("document_id").distinct(), "document_id", "left_semi"), "to_read")
+        if not ids.limit(1).count():
+            return self if covered is None else Engine.open(self.spark, self.root, embed=self.embed, extractor=self.extractor)
+        fragments = etl.batches(self.world.evidence.join(ids, "document_id", "left_semi"), batch_size)
+        # Answers are written before they are used: a model is asked once.
+        engine = self.extend(cut(self.extractor(fragments.select("document_id", "batch", "evidence_id", "text")), "answers"))
+        writers.upsert(ids, self.root, "covered", "document_id")
+        return engine
 
     def extend(self, assertions: DataFrame) -> Engine:
         """Add what an extractor says (document_id, batch, answer JSON); again the same answers change nothing."""
@@ -59,7 +105,7 @@ class Engine:
         edges, attributes = etl.linked(parsed, found)
         for rows, name in ((found.drop("batch"), "mentions"), (entities, "entities"), (edges, "relationships"), (attributes, "attributes")):
             writers.upsert(rows, self.root, name, KEYS[name])
-        return Engine.open(self.spark, self.root)
+        return Engine.open(self.spark, self.root, embed=self.embed, extractor=self.extractor)
 
     # Search
 
@@ -73,9 +119,9 @@ class Engine:
         return search.fuzzy(self._rows(), query, limit)
 
     def semantic_search(self, query: str, limit: int = 10) -> DataFrame:
-        from tessera.functions.vectors import hash_embedding
-
-        return search.semantic(search.embedded(self._rows()), hash_embedding(F.lit(query)), limit)
+        """The nearest texts: of the stored index where there is one, else embedded here."""
+        rows = index.stored(self.spark, self.root)
+        return index.nearest(self._rows().withColumn("embedding", self.embed(F.col("text"))) if rows is None else rows, query, limit, self.embed)
 
     def hybrid_search(self, query: str, limit: int = 10) -> DataFrame:
         return search.hybrid(self._rows(), query, limit, nodes=self.world.entities)
@@ -107,6 +153,10 @@ class Engine:
             return graph.one_hop(self.world.relationships, entities, direction, relational.near_names(self.world, "relationships", predicate))
         return graph.k_hop(self.world.relationships, entities, depth)
 
+    def traverse_edges(self, entities: DataFrame, predicate: str | None = None, direction: str = "both") -> DataFrame:
+        """The edges of one hop, with their own ids, predicates and evidence."""
+        return graph.hop_edges(self.world.relationships, entities, direction, relational.near_names(self.world, "relationships", predicate))
+
     def find_path(self, start: str, end: str) -> DataFrame:
         return graph.shortest_path(self.world.relationships, start, end)
 
@@ -126,11 +176,15 @@ class Engine:
     def get_evidence(self, evidence_id: str) -> DataFrame:
         return self.world.evidence.filter(F.col("evidence_id") == evidence_id)
 
-    def get_provenance(self, entity_id: str) -> DataFrame:
-        return relational.provenance(self.world, entity_id)
+    def get_provenance(self, entity_id: str | None = None, relationship_id: str | None = None, evidence_id: str | None = None, fact_id: str | None = None) -> DataFrame:
+        return relational.provenance(self.world, entity_id, relationship_id, evidence_id, fact_id)
 
     def get_coverage(self) -> DataFrame:
-        return relational.coverage(self.world, self.world.evidence.select("document_id").distinct())
+        return relational.coverage(self.world, self.world.evidence.select("document_id").distinct(), index.stored(self.spark, self.root))
+
+    def evidence_text(self, evidence_id: str) -> DataFrame:
+        """(evidence_id, text): the text of a fragment, or its raw value where it has none."""
+        return self.get_provenance(evidence_id=evidence_id).select("evidence_id", "text")
 
     def check_completeness(self, entity_type: str, expected_min: int | None = None, anchor_query: str | None = None) -> DataFrame:
         return relational.completeness(self.world, entity_type, expected_min, self.discover_evidence(anchor_query, 50) if anchor_query else None)
@@ -152,6 +206,10 @@ class Engine:
             if rows is not None:
                 rows.createOrReplaceTempView(name)
 
+    def query_duckdb(self, sql: str, params: Sequence[Any] | Mapping[str, Any] | None = None) -> DataFrame:
+        """``query_sql`` under the name that tool callers know."""
+        return self.query_sql(sql, params)
+
     def query_sql(self, text: str, args: Sequence[Any] | Mapping[str, Any] | None = None) -> DataFrame:
         self.views()
         return sql.select(self.spark, text, args)
@@ -163,7 +221,16 @@ class Engine:
 
     def run_plan(self, plan: QueryPlan | dict | str) -> DataFrame:
         plan = plan if isinstance(plan, QueryPlan) else parse(plan)
-        return compile_plan(plan, self.world)[plan.final].df
+        return compile_plan(plan, self.grown(plan).world)[plan.final].df
+
+    def grown(self, plan: QueryPlan) -> Engine:
+        """This engine after the extractor has read what the plan's DISCOVER steps find; itself without an extractor."""
+        engine = self
+        for op in plan.operations:
+            if op.op_type == "DISCOVER" and self.extractor is not None:
+                found = engine.discover_evidence(op.params["query"], op.params.get("limit", 15))
+                engine = engine.extract_documents(found, op.params.get("batch_size", 30))
+        return engine
 
     def ask(self, question: str, planner: verify.Planner | None = None, iterations: int = 3) -> verify.Answer:
         return verify.ask(question, self.world, planner, iterations, self.schema_context() if planner else None)

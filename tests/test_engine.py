@@ -266,12 +266,19 @@ def test_upsert_keeps_the_last(spark, tmp_path):
     assert sorted(tuple(r) for r in writers.keyed(spark, root, "t").collect()) == [("a", 1), ("b", 2), ("c", 2)]
 
 
-@pytest.mark.parametrize("text", ["DROP TABLE x", "SELECT 1; SELECT 2", "INSERT INTO t VALUES (1)", "CREATE TABLE t (a int)", "SELECT * FROM parquet.`/tmp/x`", "SET a=b", "update t set a = 1", ""])
+@pytest.mark.parametrize("text", ["DROP TABLE x", "SELECT 1; SELECT 2", "INSERT INTO t VALUES (1)", "CREATE TABLE t (a int)", "SELECT * FROM parquet.`/tmp/x`", "SET a=b", "update t set a = 1", "", "SELECT * FROM TEXT.`/etc/hostname`", "SELECT * FROM Parquet.`/tmp/x`", "SELECT * FROM spark_catalog.default.t", "SELECT * FROM (SELECT * FROM `binaryFile`.`/etc`)", "SELECT (SELECT max(value) FROM text.`/etc/hostname`)", "WITH t AS (SELECT * FROM text.`/etc/hostname`) SELECT * FROM t", "SELECT java_method('java.lang.System', 'getenv', 'HOME')", "SELECT Reflect('java.lang.System', 'getenv', 'HOME')", "SELECT 1 WHERE try_reflect('java.lang.System', 'getenv', 'HOME') IS NOT NULL", "SELECT * FROM IDENTIFIER('text.`/etc/hostname`')", "SELECT IDENTIFIER('reflect')('java.lang.System', 'getenv', 'HOME')", "SELECT TRANSFORM(1) USING 'cat' AS (a)", "SELECT input_file_name()", "SELECT * FROM unknown_table", "SELECT spark_catalog.default.f(1)"])
 def test_only_queries(spark, text):
     with pytest.raises(sql.NotASelect):
         sql.select(spark, text)
 
 
+def test_views_ctes_and_subqueries_are_open_to_queries(spark):
+    spark.range(5).createOrReplaceTempView("numbers_here")
+    text = "WITH a AS (SELECT id FROM Numbers_Here WHERE id IN (SELECT max(id) FROM numbers_here)) SELECT a.id + x.n AS v FROM a, LATERAL (SELECT count(*) AS n FROM numbers_here WHERE id < a.id) x ORDER BY v LIMIT 3"
+    assert [r.v for r in sql.select(spark, text).collect()] == [8]
+    assert sql.select(spark, "SELECT sum(col) AS s FROM explode(array(1, 2)) UNION ALL SELECT count(DISTINCT id) FROM range(4)").count() == 2
+
+
 def test_queries_pass(spark):
     assert sql.select(spark, "WITH t AS (SELECT 1 AS a) SELECT a + :b AS c FROM t", {"b": 2}).first().c == 3
 
@@ -287,6 +294,88 @@ def test_stream_runs_once(spark, tmp_path):
     assert {r.event_type for r in ingest.keyed_table(spark, str(tmp_path / "out")).collect()} == {"new"}
 
 
+def test_a_late_older_version_does_not_win(spark, tmp_path):
+    made = lambda day, kind: spark.createDataFrame([(1, day, kind)], "event_id long, ts string, event_type string").withColumn("ts", F.col("ts").cast("timestamp")).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    for day, kind in (("2024-01-05", "newer"), ("2024-01-01", "older, late")):
+        made(day, kind)
+        ingest.ingest_events(spark, str(tmp_path / "in"), str(tmp_path / "out"))
+    assert [r.event_type for r in ingest.keyed_table(spark, str(tmp_path / "out")).collect()] == ["newer"]
+
+
+def test_edges_and_evidence_of_a_hub(spark):
+    edges = spark.createDataFrame([(f"r{i:02}", f"n{i:02}", "p", "hub", f"e{i:02}") for i in range(25)], "relationship_id string, subject_id string, predicate string, object_id string, evidence_id string")
+    start = spark.createDataFrame([(f"n{i:02}",) for i in range(25)], "entity_id string")
+    assert graph.one_hop(edges, start, "out").first().evidence_ids == [f"e{i:02}" for i in range(graph.SHOWN)]
+    found = graph.hop_edges(edges, start, "out").collect()
+    assert sorted((r.from_id, r.entity_id, r.relationship_id, r.predicate) for r in found) == [(f"n{i:02}", "hub", f"r{i:02}", "p") for i in range(25)]
+
+
+def test_ranks_need_no_single_task(spark):
+    rows = spark.createDataFrame([(f"e{i}", float(i * 7 % 50) if i % 9 else None) for i in range(200)], "entity_id string, value_number double")
+    want = sorted(((r.entity_id, r.value_number) for r in rows.collect() if r.value_number is not None), key=lambda x: (-x[1], x[0]))
+    got = sorted(relational.ranked(rows).collect(), key=lambda r: r["rank"])
+    assert [(r.entity_id, r.value_number) for r in got] == want and [r["rank"] for r in got] == list(range(len(want)))
+    assert [r.entity_id for r in sorted(relational.ranked(rows, 5).collect(), key=lambda r: r["rank"])] == [e for e, _ in want[:5]]
+
+
+def test_rules_over_steps():
+    plan = parse({"question": "q", "operations": [op("a", "ENUMERATE", entity_type="t"), op("b", "GET_ATTRIBUTE", input_var="$a", predicate="p"), op("c", "AGGREGATE", input_var="$b", function="sum")], "final_var": "$c"})
+    step = lambda var, kind, status, evidence=(), note="": verify.Step(var, kind, status, 1, list(evidence), note)
+    good = [step("a", "ENUMERATE", "ok"), step("b", "GET_ATTRIBUTE", "ok", ["e"]), step("c", "AGGREGATE", "ok")]
+    assert verify.verify(plan, good) == []
+    for at, bad in ((0, "ambiguous"), (0, "failed"), (0, "incomplete"), (1, "empty"), (2, "empty")):
+        steps = [dataclasses.replace(s, status=bad) if i == at else s for i, s in enumerate(good)]
+        assert len(verify.verify(plan, steps)) == 1, bad
+    assert len(verify.verify(plan, [good[0], dataclasses.replace(good[1], evidence_ids=[]), good[2]])) == 1
+    assert len(verify.verify(plan, good[:2])) == 1
+
+
+def test_the_index_embeds_texts_once(spark, tmp_path):
+    from tessera.functions.vectors import hash_embedding
+    from tessera.operators import index
+
+    made = lambda rows: spark.createDataFrame([(i, "evidence", "D", t) for i, t in rows], "source_id string, source string, document_id string, text string")
+    root, embed = str(tmp_path), lambda text: hash_embedding(text, 16)
+    assert index.stored(spark, root) is None
+    assert index.refresh(made([("a", "one text"), ("b", "another"), ("c", None)]), root, embed) == 3
+    assert index.refresh(made([("a", "one text"), ("b", "another"), ("c", None)]), root, embed) == 0
+    assert index.refresh(made([("a", "one text"), ("b", "changed")]), root, embed) == 1
+    stored = index.stored(spark, root)
+    assert sorted((r.source_id, r.text) for r in stored.collect()) == [("a", "one text"), ("b", "changed")]
+    best = index.nearest(stored, "changed", 1, embed).first()
+    assert best.source_id == "b" and abs(best.score - 1) < 1e-6
+
+
+def test_provenance_of_each_kind(spark, golden):
+    edges = golden.relationships.withColumn("relationship_id", F.concat(F.lit("r:"), "subject_id"))
+    engine = Engine(spark, dataclasses.replace(golden, relationships=edges))
+    found = {(r.via, r.evidence_id, r.document_id) for r in engine.get_provenance("alpha").collect()}
+    assert found == {("attribute", "e2", "PKG-ALPHA"), ("relationship", "e1", "PKG-ALPHA")}
+    assert [(r.via_id, r.evidence_id) for r in engine.get_provenance(relationship_id="r:beta").collect()] == [("r:beta", "e3")]
+    assert [(r.via_id, r.evidence_id) for r in engine.get_provenance(fact_id="f1").collect()] == [("f1", "e2")]
+    assert engine.evidence_text("e0").first().text == "Asha Nair led the project Bridge Alpha."
+    with pytest.raises(ValueError):
+        engine.get_provenance()
+
+
+def test_documents_are_extracted_when_a_plan_discovers_them(spark, tmp_path):
+    (tmp_path / "r.json").write_text(json.dumps(RESULT))
+    read = []
+
+    def extractor(fragments):
+        ids = sorted({r.document_id for r in fragments.select("document_id").distinct().collect()})
+        read.append(ids)
+        says = json.dumps({"entities": [{"mention_text": "Bridge", "entity_type": "project", "confidence": 0.9, "source_ref": None}], "relationships": [], "attributes": []})
+        return fragments.select("document_id", "batch").distinct().withColumn("answer", F.lit(says))
+
+    engine = Engine.build(spark, str(tmp_path / "r.json"), str(tmp_path / "w"))
+    engine.extractor = extractor
+    plan = {"question": "q", "operations": [op("d", "DISCOVER", query="contract value", limit=5), op("p", "ENUMERATE", entity_type="project"), op("n", "AGGREGATE", input_var="$p", function="count")], "final_var": "$n"}
+    assert engine.run_plan(plan).first().value == 1.0
+    assert len(read) == 1 and read[0]
+    assert engine.run_plan(plan).first().value == 1.0 and len(read) == 1
+
+
 def test_contract():
     import __spark_entry__ as entry
 

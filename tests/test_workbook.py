@@ -26,3 +26,19 @@ def test_workbooks_become_facts(spark, tmp_path):
     assert sorted(r.document_id for r in failures.collect()) == ["bad", "x"]
     facts = etl.build_facts(etl.build_evidence(documents)).collect()
     assert {(r.predicate, r.raw_value) for r in facts} == {("amount", "1000"), ("description", "pipes"), ("computed_value", "=SUM(A2:A2)")}
+
+
+def test_files_are_taken_in_by_one_command(spark, tmp_path):
+    from tessera.engine import Engine
+
+    (tmp_path / "in").mkdir()
+    make(tmp_path / "in" / "w.xlsx")
+    (tmp_path / "in" / "bad.xlsx").write_bytes(b"not a zip")
+    engine = Engine.ingest(spark, str(tmp_path / "in"), str(tmp_path / "world"))
+    assert engine.world.facts.count() == 3
+    report = spark.read.json(str(tmp_path / "world" / "report")).first()
+    assert (report.documents_processed, report.facts_created, report.documents_failed) == (1, 3, 1)
+    assert engine.refresh_index() > 0 and engine.refresh_index() == 0
+    assert engine.get_coverage().first().vectors > 0
+    again = Engine.ingest(spark, str(tmp_path / "in"), str(tmp_path / "world"))
+    assert again.world.facts.count() == 3
