@@ -5,8 +5,8 @@ host, with all hosts below it, or for a path prefix of a host.  A window over
 each entry's log turns it into validity intervals ``[valid_from, valid_to)``; an
 add that repeats an open one, or a remove of nothing, changes nothing.  A
 capture is looked up under every key that could cover it, its host and the
-domains above, each alone and with every prefix of its path, and takes the
-intervals that hold its fetch time (the as-of join: of an entry's log, the
+domains above, each alone and with every prefix of its path, as far as the lists
+have keys that long, and takes the intervals that hold its fetch time (the as-of join: of an entry's log, the
 state at that time decides).  An "allow" list overrules "block" lists; within
 each, the most specific key counts, and of equals the latest, then the list's name.
 
@@ -44,16 +44,17 @@ def path(url: Column) -> Column:
     return F.when(found == "", F.lit("/")).otherwise(found)
 
 
-def keys(host: Column, path: Column) -> Column:
-    """Every key that covers a capture, with how specific it is: domains, then domains with path prefixes."""
+def keys(host: Column, path: Column, most_labels: int, most_parts: int) -> Column:
+    """Every key of up to so many labels and path parts that covers a capture, with how specific it is: domains, then domains with path prefixes."""
     labels = F.split(host, r"\.")
     n = F.size(labels)
-    domains = F.transform(F.sequence(F.lit(1), n), lambda i: F.array_join(F.slice(labels, i, n - i + 1), "."))
+    first = F.greatest(n - F.lit(most_labels - 1), F.lit(1))
+    domains = F.transform(F.sequence(first, n), lambda i: F.array_join(F.slice(labels, i, n - i + 1), "."))
     parts = F.array_remove(F.split(path, "/"), "")
-    m = F.size(parts)
+    m = F.least(F.size(parts), F.lit(most_parts))
     prefixes = F.transform(F.when(m > 0, F.sequence(F.lit(1), m)).otherwise(F.array().cast("array<int>")), lambda i: F.concat(F.lit("/"), F.array_join(F.slice(parts, 1, i), "/")))
-    alone = F.transform(domains, lambda d, i: F.struct(d.alias("key"), (n - i).alias("labels"), F.lit(0).alias("parts")))
-    below = F.flatten(F.transform(domains, lambda d, i: F.transform(prefixes, lambda p, j: F.struct(F.concat(d, p).alias("key"), (n - i).alias("labels"), (j + 1).alias("parts")))))
+    alone = F.transform(domains, lambda d, i: F.struct(d.alias("key"), (n - first - i + 1).alias("labels"), F.lit(0).alias("parts")))
+    below = F.flatten(F.transform(domains, lambda d, i: F.transform(prefixes, lambda p, j: F.struct(F.concat(d, p).alias("key"), (n - first - i + 1).alias("labels"), (j + 1).alias("parts")))))
     return F.concat(alone, below)
 
 
@@ -73,9 +74,11 @@ def filter_urls(captures: DataFrame, entries: DataFrame) -> DataFrame:
     ``captures``: page_id, url, fetch_time.
     """
     active = intervals(entries)
+    # No key of a capture is longer than the longest listed one: what a capture costs follows the lists, not its URL.
+    most = active.agg(F.max(F.size(F.split(F.substring_index("key", "/", 1), r"\."))), F.max(F.size(F.split("key", "/")) - 1)).first()
     # xxhash64 tells repeated captures of one page apart only by their number, which the count below keeps.
     rows = captures.select("page_id", "url", "fetch_time").groupBy("page_id", "url", "fetch_time").agg(F.count("*").alias("copies"))
-    rows = rows.withColumn("host", host(F.col("url"))).withColumn("k", F.explode_outer(keys(F.col("host"), path(F.col("url")))))
+    rows = rows.withColumn("host", host(F.col("url"))).withColumn("k", F.explode_outer(keys(F.col("host"), path(F.col("url")), max(most[0] or 1, 1), most[1] or 0)))
     rows = rows.select("page_id", "url", "fetch_time", "copies", "host", F.lower("k.key").alias("key"), "k.labels", "k.parts")
     # Joined by digest: the shuffled or broadcast intervals have a fixed width, and the capture knows the key itself.
     rows, active = rows.withColumn("digest", _digest("key")), active.withColumn("digest", _digest("key")).drop("key")
