@@ -4,7 +4,8 @@ The words of a run of documents are numbered and sorted as one suffix array by
 prefix doubling.  A sentinel after each document keeps repeats inside it: only
 suffixes of one document share a first rank, and only positions whose rank is
 still shared are sorted again.  The ranks of each round then give the longest
-common prefix of neighbouring suffixes.  An interval of the array whose
+common prefix of neighbouring suffixes; where repeats are so long that the rounds
+would take much memory, Kasai's algorithm finds the same from the last ranks.  An interval of the array whose
 neighbours share at least L words is a maximal repeated substring, so the union
 of the spans of all intervals is, at each position, the larger of the prefixes
 it shares with its two neighbours.
@@ -39,7 +40,9 @@ MOST_COVERED = 0.3
 MOST_REPEAT = 0.2
 SYMBOLS = "#*$%&|<>"
 #: Characters whose documents share one suffix array.
-RUN_CHARS = 1 << 21
+RUN_CHARS = 1 << 20
+#: Rounds of doubling whose ranks are kept: repeats of up to 2 ** ROUNDS words.
+ROUNDS = 10
 _SPACE = " \t\n\x0b\x0c\r"
 
 FIELDS = {
@@ -56,15 +59,20 @@ FIELDS = {
 KIND = "struct<" + ",".join(f"{k}:{'boolean' if v == pa.bool_() else 'long'}" for k, v in FIELDS.items()) + ">"
 
 
-def suffix_ranks(tokens: np.ndarray, doc: np.ndarray) -> list[np.ndarray]:
-    """The ranks of all suffixes by their first 1, 2, 4, ... tokens.
+def suffix_keys(tokens: np.ndarray, doc: np.ndarray) -> np.ndarray:
+    """One number for each document and word, so that no two documents have one in common.
 
-    ``tokens`` are word numbers, -1 after each document; ``doc`` numbers the
-    documents.  A rank is the place of the first suffix that starts alike.  The
-    last array has no ties.
+    ``tokens`` are word numbers, -1 after each document; ``doc`` numbers the documents.
     """
-    n = len(tokens)
-    key = doc.astype(np.int64) * (int(tokens.max(initial=0)) + 2) + tokens + 1
+    return doc.astype(np.int64) * (int(tokens.max(initial=0)) + 2) + tokens + 1
+
+
+def suffix_ranks(key: np.ndarray) -> list[np.ndarray]:
+    """The ranks of all suffixes by their first 1, 2, 4, ... tokens; only the last ranks where there are over ``ROUNDS``.
+
+    A rank is the place of the first suffix that starts alike.  The last array has no ties.
+    """
+    n = len(key)
     order = np.argsort(key, kind="stable")
     rank = np.empty(n, np.int32)
     rank[order] = _starts(key[order])
@@ -81,10 +89,27 @@ def suffix_ranks(tokens: np.ndarray, doc: np.ndarray) -> list[np.ndarray]:
         new = np.r_[True, pair[1:] != pair[:-1]]
         rank = rank.copy()
         rank[active] = first + np.maximum.accumulate(np.where(new, np.arange(len(active)), 0)) - (np.arange(len(active)) - place)
-        levels.append(rank)
+        levels = [*levels, rank] if 0 < len(levels) < ROUNDS else []
         width *= 2
         active = active[_tied(rank[active])]
-    return levels
+    return levels or [rank]
+
+
+def _neighbours(key: np.ndarray, order: np.ndarray, rank: np.ndarray) -> np.ndarray:
+    """Kasai: the tokens that each suffix of the array shares with the one before it; one array beside its arguments."""
+    shared = np.zeros(len(key), np.int64)
+    keys, before, h = key.tolist(), np.empty(len(key), np.int64), 0
+    before[order[1:]], before[order[:1]] = order[:-1], -1
+    for i, j in enumerate(before.tolist()):
+        if j < 0:
+            h = 0
+            continue
+        # The sentinels differ, so that no run passes the end of a document.
+        while keys[i + h] == keys[j + h]:
+            h += 1
+        shared[i] = h
+        h = max(h - 1, 0)
+    return shared[order[1:]]
 
 
 def _starts(sorted_keys: np.ndarray) -> np.ndarray:
@@ -101,14 +126,17 @@ def _tied(sorted_ranks: np.ndarray) -> np.ndarray:
 
 def repeat_lengths(tokens: np.ndarray, doc: np.ndarray) -> np.ndarray:
     """For each position the length of the longest repeat that starts there."""
-    levels = suffix_ranks(tokens, doc)
+    key = suffix_keys(tokens, doc)
+    levels = suffix_ranks(key)
     n = len(tokens)
     order = np.empty(n, np.int64)
     order[levels[-1]] = np.arange(n)
     # Longest common prefixes of neighbours, from the widest round to the narrowest.
     left, right = order[:-1], order[1:]
     shared = np.zeros(n - 1 if n else 0, np.int64)
-    live = np.flatnonzero(levels[0][left] == levels[0][right]) if n else np.zeros(0, np.int64)
+    live = np.flatnonzero(key[left] == key[right]) if n else np.zeros(0, np.int64)
+    if len(levels) == 1 and len(live):
+        return _longest(left, right, _neighbours(key, order, levels[0]), n)
     a, b, got = left[live].copy(), right[live].copy(), np.zeros(len(live), np.int64)
     for k in range(len(levels) - 1, -1, -1):
         same = (a < n) & (b < n)
@@ -116,6 +144,10 @@ def repeat_lengths(tokens: np.ndarray, doc: np.ndarray) -> np.ndarray:
         step = same.astype(np.int64) << k
         a, b, got = a + step, b + step, got + step
     shared[live] = got
+    return _longest(left, right, shared, n)
+
+
+def _longest(left: np.ndarray, right: np.ndarray, shared: np.ndarray, n: int) -> np.ndarray:
     longest = np.zeros(n, np.int64)
     np.maximum.at(longest, left, shared)
     np.maximum.at(longest, right, shared)
