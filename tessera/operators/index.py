@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.functions.vectors import hash_embedding
-from tessera.operators.search import semantic
+from tessera.operators.search import query_vector, semantic
 from tessera.sources import writers
 
 Embedder = Callable[[Column], Column]
@@ -49,4 +49,4 @@ def stored(spark: SparkSession, root: str | None) -> DataFrame | None:
 
 def nearest(index: DataFrame, query: str, k: int = 10, embed: Embedder = hash_embedding) -> DataFrame:
     """The k rows of an index that are nearest to a query; only the query is embedded."""
-    return semantic(index, embed(F.lit(query)), k)
+    return semantic(index, query_vector(index.sparkSession, embed(F.lit(query))), k)

@@ -38,7 +38,7 @@ def enumerate_population(world: World, entity_type: str | None, predicate: str |
 
 def near_names(world: World, table: str, predicate: str | None) -> list[str] | None:
     """The predicates of a table that are close to a name; none for no name: all match."""
-    return search.matching_names(world.entities.sparkSession, world.names(table), predicate) if predicate else None
+    return search.matching_names(world.names(table), predicate) if predicate else None
 
 
 def get_attribute(world: World, entities: DataFrame, predicate: str, subject_scoped: bool = False) -> DataFrame:

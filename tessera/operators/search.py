@@ -50,6 +50,11 @@ def semantic(rows: DataFrame, query: Column, k: int = 10, vector: str = "embeddi
     return rows.withColumn("score", cosine(F.col(vector), query)).orderBy(F.desc("score"), tie).limit(k)
 
 
+def query_vector(spark: SparkSession, vector: Column) -> Column:
+    """The value of a query's vector as a literal: computed once, not for every row."""
+    return F.lit([float(x) for x in spark.range(1).select(vector.alias("v")).first()["v"]])
+
+
 def embedded(rows: DataFrame, text: str = "text", dimension: int = 384) -> DataFrame:
     """``rows`` with the hash embedding of their text."""
     return rows.withColumn("embedding", hash_embedding(F.col(text), dimension))
@@ -64,7 +69,7 @@ def hybrid(rows: DataFrame, query: str, k: int = 10, mode: str = "normalized", d
     raw = mode == "raw"
     columns = ("source_id", "source", "document_id", "text")
     lexical = fuzzy(rows, query, k).select(*columns, (F.col("score") if raw else F.col("score") / 100).alias("score"), F.lit("lexical").alias("by"))
-    vectors = semantic(embedded(rows, dimension=dimension), hash_embedding(F.lit(query), dimension), k)
+    vectors = semantic(embedded(rows, dimension=dimension), query_vector(rows.sparkSession, hash_embedding(F.lit(query), dimension)), k)
     near = vectors.select(*columns, (F.col("score") if raw else (F.col("score") + 1) / 2).alias("score"), F.lit("semantic").alias("by"))
     hits = lexical.union(near)
     if nodes is not None:
@@ -84,11 +89,24 @@ def supports(hits: DataFrame, evidence_id: str, k: int = 5) -> DataFrame:
     return hits.orderBy(F.desc("score"), "source_id").limit(k).agg(F.coalesce(F.bool_or(F.col("source_id") == evidence_id), F.lit(False)).alias("supported"))
 
 
-def matching_names(spark: SparkSession, names: tuple[str, ...], target: str, cutoff: float = 60.0) -> list[str]:
+def name_ratio(a: str, b: str) -> float:
+    """``text.token_sort_ratio`` of two short names, without a job."""
+    a, b = (" ".join(sorted("".join(c if c.isalnum() else " " for c in x.lower()).split())) for x in (a, b))
+    if a == b:
+        return 100.0
+    row = [0] * (len(b) + 1)
+    for x in a:
+        last = row
+        row = [0]
+        for j, y in enumerate(b):
+            row.append(last[j] + 1 if x == y else max(last[j + 1], row[-1]))
+    return 200.0 * row[-1] / (len(a) + len(b))
+
+
+def matching_names(names: tuple[str, ...], target: str, cutoff: float = 60.0) -> list[str]:
     """Those of a dictionary of names that are close to a target.
 
-    The names become literals of a filter, so that it reaches the scan, and whole
+    They become literals of a filter, so that it reaches the scan, and whole
     tables whose predicate is another are never read.
     """
-    rows = spark.createDataFrame([(n,) for n in names], "name string")
-    return sorted(r["name"] for r in with_ratio(rows, F.lit(target), cutoff, "name").select("name").collect())
+    return sorted(n for n in names if name_ratio(n, target) >= cutoff)

@@ -11,6 +11,8 @@ from tessera.operators import evidence as etl
 from tessera.operators import graph, relational, resolve, search
 from tessera.sources import writers
 
+#: Most names whose pairs are all scored.
+DICTIONARY = 20_000
 _PRICE = "CAST(o_totalprice AS DECIMAL(18,2))"
 
 
@@ -68,8 +70,10 @@ def exact_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def fuzzy_ratio(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All pairs of the distinct part names (a dictionary), scored."""
+    """All pairs of the distinct part names, scored; they are a dictionary, which is counted before it is broadcast."""
     names = table(spark, sf_dir, "part").select(F.col("p_name").alias("a")).distinct()
+    if names.limit(DICTIONARY + 1).count() > DICTIONARY:
+        raise ValueError("part names are no dictionary here")
     return names.join(F.broadcast(names.select(F.col("a").alias("b"))), F.col("a") < F.col("b")).select("a", "b", F.round(text.indel_ratio(F.col("a"), F.col("b")), 6).alias("ratio"))
 
 
@@ -80,7 +84,7 @@ def fuzzy_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def predicate_match(spark: SparkSession, sf_dir: str) -> DataFrame:
     w = world(spark, sf_dir)
-    names = search.matching_names(spark, w.names("attributes"), "total price")
+    names = search.matching_names(w.names("attributes"), "total price")
     return spark.createDataFrame([(n,) for n in names], "predicate string")
 
 
