@@ -2,7 +2,7 @@
 
 1. A bounded sample of labelled rows outside the held-out fold: the ``MAX_TOXIC``
    toxic and ``MAX_CLEAN`` clean ones with the least hash of their id.
-2. Terms: all words of the sample, and the openings of longer ones.  Inverse
+2. Terms: all words of the sample.  Inverse
    document frequencies count every document of the corpus.
 3. The examples' vectors: terms that many examples have are multiplied as a matrix
    in single precision, the others by their postings.  Whatever single precision
@@ -43,8 +43,6 @@ THRESHOLD = 0.7
 MAX_TOXIC, MAX_CLEAN, MAX_TERMS = 4_000, 8_000, 2_000
 #: A telling term: in at least so many toxic rows, so much likelier in them, with such a chi-square.
 LEAST_TOXIC, LEAST_SHARE, LIFT, CHI_SQUARE = 3, 0.004, 5.0, 25.0
-#: Lengths of the word openings that are terms of their own, so that inflected and joined words count as alike.
-OPENINGS = (5, 7)
 NEIGHBOURS, BLOCK = 15, 64
 #: A term in more than one of so many examples counts as common.
 DENSE = 16
@@ -52,9 +50,8 @@ _WORD = re.compile(r"\w+")
 
 
 def words(text: str | None) -> list[str]:
-    """The terms of a text: its words, and the openings of longer ones, marked by "^"."""
-    found = _WORD.findall(text.lower()) if text else []
-    return found + ["^" + w[:n] for n in OPENINGS for w in found if len(w) > n]
+    """The terms of a text: its words, in lower case."""
+    return _WORD.findall(text.lower()) if text else []
 
 
 def _fold(terms: list[str]) -> bytes:
@@ -114,7 +111,7 @@ class Index:
         self.matrix[self.numbers[common], of[common]] = self.unit[common]
         rare = order[self.posts[self.dense] :]
         self.posts = self.posts - len(common)
-        self.members, self.parts = of[rare], self.unit[rare].astype(np.float32)
+        self.members, self.parts = of[rare].astype(np.intp), self.unit[rare]
         self.query = np.zeros(len(self.idf))
 
     def __getstate__(self) -> dict:
@@ -153,8 +150,9 @@ class Index:
     def vector(self, text: str | None) -> tuple[np.ndarray, np.ndarray]:
         """Term numbers and unit weights of a text."""
         get = self.terms.get
-        counts = Counter(i for w in words(text) if (i := get(w)) is not None)
-        return self.weigh(np.fromiter(counts, np.int64, len(counts)), np.fromiter(counts.values(), float, len(counts)))
+        found = [(i, n) for w, n in Counter(words(text)).items() if (i := get(w)) is not None]
+        pairs = np.array(found, np.int64).reshape(-1, 2)
+        return self.weigh(pairs[:, 0], pairs[:, 1].astype(float))
 
     def weigh(self, terms: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         w = (1 + np.log(counts)) * self.idf[terms]
@@ -180,9 +178,11 @@ class Index:
         n = len(near)
         high = terms >= self.dense
         if high.any():
-            begin, end = self.posts[terms[high]], self.posts[terms[high] + 1]
-            spans = [slice(a, b) for a, b in zip(begin.tolist(), end.tolist(), strict=True)]
-            near = near + np.bincount(np.concatenate([self.members[s] for s in spans]), np.concatenate([self.parts[s] for s in spans]) * np.repeat(weights[high], end - begin), n)
+            begin = self.posts[terms[high]]
+            sizes = self.posts[terms[high] + 1] - begin
+            ends = np.cumsum(sizes)
+            at = np.repeat(begin - ends + sizes, sizes) + np.arange(ends[-1])
+            near = near + np.bincount(self.members[at], self.parts[at] * np.repeat(weights[high], sizes), n)
         if without >= 0:
             near[without] = 0
         # Twice what single precision can be off by; what is that near is computed again in double.
@@ -289,7 +289,7 @@ def train(docs: DataFrame, labels: DataFrame, max_toxic: int = MAX_TOXIC, max_cl
     chosen = _sample(labels, 1, max_toxic).union(_sample(labels, 0, max_clean))
     sampled = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("text", F.col("toxic").cast("int").alias("toxic"), "doc_id")
     # Copies of one text count once, or all of a copied text's words would look telling.
-    sampled = cut(sampled.dropDuplicates(["text", "toxic"]), "examples")
+    sampled = cut(sampled.groupBy("text", "toxic").agg(F.min("doc_id").alias("doc_id")), "examples")
     n = {r["toxic"]: r["count"] for r in sampled.groupBy("toxic").count().collect()}
     n_toxic, n_clean = n.get(1, 0), n.get(0, 0)
     if not n_toxic or not n_clean:
@@ -316,9 +316,7 @@ def train(docs: DataFrame, labels: DataFrame, max_toxic: int = MAX_TOXIC, max_cl
         for batch in batches:
             rows += batch.num_rows
             for text in batch.column(0):
-                for w in set(words(text.as_py())):
-                    if (i := lookup.get(w)) is not None:
-                        seen[i] += 1
+                seen[[i for w in set(words(text.as_py())) if (i := lookup.get(w)) is not None]] += 1
         at = np.flatnonzero(seen)
         yield pa.RecordBatch.from_arrays([pa.array(np.r_[at, -1], pa.int32()), pa.array(np.r_[seen[at], rows], pa.int64())], names=["term", "n"])
 

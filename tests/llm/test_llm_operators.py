@@ -241,6 +241,17 @@ def test_decontamination_finds_rows_without_an_id(spark, monkeypatch, limit):
     assert sorted(str(r.doc_id) for r in decontamination.drop_contaminated(docs, bench).collect()) == ["2", "None"]
 
 
+def test_decontamination_of_long_texts(spark):
+    """100,000 words with a passage at each end, and a text of one repeated word that an item repeats, too."""
+    passage, filler = prose(24, 30), prose(25, 100_000)
+    items = [(1, passage), (2, "so " * 40), (3, prose(26, 300))]
+    rows = [(1, passage + " " + filler + " " + passage), (2, "so " * 20_000), (3, filler), (4, prose(26, 300) + " x " + prose(26, 299))]
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    got = {r.doc_id: r for r in decontamination.contamination(docs_of(spark, rows), bench).collect()}
+    assert [(got[i].n_hit, got[i].n_items) for i in (1, 2, 3, 4)] == [(60, 1), (20_000, 1), (0, 0), (599, 1)]
+    assert [(s.start, s.end) for s in got[1].spans] == [(0, 30), (100_030, 100_060)]
+
+
 # Near-duplicates
 
 
@@ -252,50 +263,112 @@ def edited(text, seed, n):
     return " ".join(w)
 
 
+def brute_edits(a, b):
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        new = [i]
+        for j, y in enumerate(b, 1):
+            new.append(min(row[j] + 1, new[-1] + 1, row[j - 1] + (x != y)))
+        row = new
+    return row[-1]
+
+
+def brute_similar(a, b):
+    a, b = (a or "").lower().split(), (b or "").lower().split()
+    n = max(len(a), len(b))
+    return abs(len(a) - len(b)) <= 0.2 * n and brute_edits(a, b) <= 0.2 * n + 1e-9
+
+
 def brute_classes(rows):
-    s = {i: near_dedup.labelled(near_dedup.shingles(t)) for i, t in rows}
-    parent = {i: i for i in s}
+    texts = dict(rows)
+    parent = {i: i for i in texts}
 
     def root(x):
         while parent[x] != x:
             x = parent[x]
         return x
 
-    ids = sorted(s)
+    ids = sorted(texts)
     for k, i in enumerate(ids):
         for j in ids[k + 1 :]:
-            if near_dedup.similarity(s[i].astype("<u4"), s[j].astype("<u4")) > 0:
+            if root(i) != root(j) and brute_similar(texts[i], texts[j]):
                 a, b = sorted((root(i), root(j)))
                 parent[b] = a
     return {i: root(i) for i in ids}
 
 
-def test_similarity_is_the_lcs_over_the_union():
+def test_banded_alignment_is_the_edit_distance(monkeypatch):
+    import numpy as np
+
     r = random.Random(1)
-    for _ in range(200):
-        a = [r.randrange(30) for _ in range(r.randint(1, 25))]
-        b = list(a)
-        for _ in range(r.randint(0, 4)):
-            b[r.randrange(len(b)) : r.randrange(len(b)) + 1] = [r.randrange(30)]
-        import numpy as np
-
-        a, b = list(dict.fromkeys(a)), list(dict.fromkeys(b))
-        row = [0] * (len(b) + 1)
-        for x in a:
-            new = [0]
-            for j, y in enumerate(b):
-                new.append(row[j] + 1 if x == y else max(row[j + 1], new[-1]))
-            row = new
-        want = row[-1] / (len(a) + len(b) - row[-1]) if a and b else 0
-        got = near_dedup.similarity(np.array(a, np.uint32), np.array(b, np.uint32))
-        assert abs(got - (want if want >= 0.8 - 1e-9 else 0)) < 1e-9
+    for band in (1, 3, 32):
+        monkeypatch.setattr(near_dedup, "BAND", band)
+        for _ in range(700):
+            a = [r.randrange(r.choice([2, 6, 40])) for _ in range(r.randint(0, 40))]
+            b = list(a)
+            for _ in range(r.randint(0, 12)):
+                i = r.randrange(len(b) + 1)
+                b[i : i + r.randint(0, 2)] = [r.randrange(9) for _ in range(r.randint(0, 2))]
+            want, most = brute_edits(a, b), r.randint(0, 20)
+            x, y = np.array(a, np.int32), np.array(b, np.int32)
+            assert near_dedup.edits_within(x, y, most) == (want if want <= most else None)
+            assert near_dedup.similar(x, y) == (want <= 0.2 * max(len(a), len(b)) + 1e-9)
+
+
+def replaced(words, seed, share):
+    """``words`` with so many of them replaced, at random places."""
+    r, w = random.Random(seed), list(words)
+    for i in r.sample(range(len(w)), round(share * len(w))):
+        w[i] = f"new{r.randrange(10**9)}"
+    return w
+
+
+def test_sketches_find_near_copies():
+    """The share of pairs that a sketch finds, by the share of words replaced at random; 0.2 is the threshold."""
+    from tessera.llm.near_dedup import sketches, word_hashes
+
+    for share, least in ((0.02, 1), (0.05, 1), (0.1, 0.99), (0.15, 0.95), (0.2, 0.7)):
+        found = []
+        for seed in range(200):
+            words = prose(seed, random.Random(seed).randint(40, 400)).split()
+            a, b = sketches([word_hashes(" ".join(x)) for x in (words, replaced(words, seed, share))])
+            found.append(bool(set(a.tolist()) & set(b.tolist())))
+        assert sum(found) / len(found) >= least, share
+
+
+def test_near_copies_of_a_population_are_found(spark):
+    """Recall over planted near copies, among texts that share one long passage."""
+    passage = prose(900, 60)
+    rows, pairs = [], []
+    for i in range(150):
+        words = prose(1000 + i, random.Random(i).randint(80, 250)).split()
+        words = words + passage.split() if i % 2 else words
+        rows += [(2 * i, " ".join(words)), (2 * i + 1, " ".join(replaced(words, i, 0.04 + 0.01 * (i % 12))))]
+        pairs.append((2 * i, 2 * i + 1))
+    got = {r.doc_id: r.class_id for r in near_dedup.near_duplicates(docs_of(spark, rows)).collect()}
+    assert sum(got[a] == got[b] for a, b in pairs) >= 0.98 * len(pairs)
+    want = brute_classes(rows[:24])
+    assert all(got[i] == got[j] for i in want for j in want if want[i] == want[j])
+    assert len(set(got.values())) >= 150
+
+
+def test_large_buckets_lose_no_near_copies(spark, monkeypatch):
+    """Buckets beyond the pairwise limit, many of whose members only share a passage."""
+    monkeypatch.setattr(near_dedup, "PAIRWISE", 3)
+    passage, base = prose(901, 80), prose(902, 120)
+    rows = [(i, prose(2000 + i, 60) + " " + passage) for i in range(40)]
+    rows += [(100 + i, " ".join(replaced((prose(2000 + i, 60) + " " + passage).split(), i, 0.08))) for i in range(40)]
+    rows += [(200 + i, " ".join(replaced(base.split(), i, 0.06))) for i in range(40)]
+    got = {r.doc_id: r.class_id for r in near_dedup.near_duplicates(docs_of(spark, rows)).collect()}
+    assert all(got[100 + i] == i for i in range(40))
+    assert {got[200 + i] for i in range(40)} == {200}
 
 
 def test_near_duplicates_match_brute_force(spark):
     base, short = prose(40, 300), prose(41, 14)
     rows = [(i, edited(base, i, i % 7)) for i in range(2, 60)] + [(100, base), (101, base), (102, base)]
     rows += [(200 + i, prose(50 + i, 120)) for i in range(20)] + [(300, short), (301, short + " more"), (302, short), (303, "two words"), (304, "two words"), (305, "two other")]
-    rows += [(400, None), (401, ""), (402, prose(60, 400) + " " + base[:300]), (100, base)]
+    rows += [(400, None), (401, ""), (402, prose(60, 400) + " " + base[:300]), (100, base), (403, "Two  WORDS"), (404, prose(61, 5_000)), (405, prose(61, 5_000) + " end")]
     got = near_dedup.near_duplicates(docs_of(spark, rows, extra=True)).collect()
     assert len(got) == len(rows)
     want = brute_classes(dict(rows).items())
@@ -337,6 +410,51 @@ def test_column_scores_are_the_models(spark):
     assert np.allclose(model.score(x), [r["__score"] for r in rows])
 
 
+def test_statistics_match_plain_python(spark):
+    import math
+
+    def plain(t):
+        t = t or ""
+        w = [x for x in re.split(r"[\x20\x09-\x0D]+", t) if x]
+        lines = [x for x in t.split("\n") if x]
+        n, c, per = max(len(w), 1), max(len(t), 1), lambda chars: sum(t.count(x) for x in chars) / max(len(w), 1)
+        import regex
+
+        return [math.log1p(len(w)), len(t) / n, per("#*$%&|<>{}=_~^\\"), per("!?"), per(".,;:"), len(regex.findall(r"\p{Lu}", t)) / c, len(re.findall("[0-9]", t)) / c, len(set(w)) / n, len(w) / max(len(lines), 1), 1 - len(set(lines)) / max(len(lines), 1), math.log1p(max(map(len, w), default=0))]
+
+    rows = [*AWKWARD, (50, "Ab, ab! 12\n\nx_y\nx_y"), (51, "# $ ÄÖ? \x0b z")]
+    got = rule_ensemble.with_statistics(docs_of(spark, rows, extra=True)).collect()
+    want = sorted(((i, *plain(t)) for i, t in rows), key=str)
+    for a, b in zip(sorted((tuple(r) for r in got), key=str), want, strict=True):
+        assert a[0] == b[0] and all(abs(x - y) < 1e-9 for x, y in zip(a[1:], b[1:], strict=True)), (a, b)
+
+
+def test_lasso_reaches_the_optimum():
+    """The conditions of the optimum: a gradient of at most the penalty, and equal to it where a weight isn't zero."""
+    import numpy as np
+
+    r = np.random.default_rng(3)
+    x = (r.random((400, 12)) < r.random(12)).astype(float)
+    y = (r.random(400) < 1 / (1 + np.exp(-(3 * x[:, 0] - 2 * x[:, 1] - 0.5)))).astype(float)
+    for penalty, (w, b) in zip((0.05, 0.02, 0.01), rule_ensemble.lasso(x, y, np.array([0.05, 0.02, 0.01]), steps=4000), strict=True):
+        mean = x.mean(0)
+        scale = np.sqrt(mean * (1 - mean)) + 1e-3
+        z = (x - mean) / scale
+        slope = z.T @ (1 / (1 + np.exp(-(x @ w + b))) - y) / len(y)
+        assert (np.abs(slope) <= penalty + 1e-4).all()
+        on = np.abs(w) > 1e-6
+        assert np.allclose(slope[on], -penalty * np.sign(w[on]), atol=1e-3) and on.any()
+
+
+def test_quality_classifier_on_odd_tables(spark):
+    docs, labels, _ = labelled_docs(spark, 120)
+    model = rule_ensemble.train(docs, labels)
+    assert rule_ensemble.score_quality(docs.limit(0), model).count() == 0
+    assert {r.score for r in rule_ensemble.score_quality(docs.limit(5), rule_ensemble.train(docs.limit(0), labels)).collect()}
+    wide = docs.withColumn("y", F.lit("x")).withColumn("score", F.lit("x")).withColumn("quality", F.lit(7))
+    assert sorted(r.score for r in rule_ensemble.score_quality(wide, rule_ensemble.train(wide, labels)).collect()) == sorted(r.score for r in rule_ensemble.score_quality(docs, model).collect())
+
+
 def labelled_docs(spark, n=400):
     r = random.Random(8)
     rows, labels = [], []
@@ -387,6 +505,23 @@ def test_toxicity_is_exact_and_learns(spark):
     assert len({r.score for r in blank}) == 1
 
 
+def test_toxicity_on_odd_tables(spark):
+    docs, labels, _ = labelled_docs(spark, 150)
+    index = toxicity.train(docs, labels)
+    assert toxicity.score_toxicity(docs.limit(0), index).count() == 0
+    none = toxicity.score_toxicity(docs.limit(3), toxicity.train(docs.limit(0), labels)).collect()
+    assert len(none) == 3 and len({r.score for r in none}) == 1
+    wide = docs.withColumn("toxic", F.lit("x")).withColumn("term", F.lit("x")).withColumn("n", F.lit(7))
+    both = [{(r.doc_id, r.score, *r.neighbours) for r in toxicity.score_toxicity(d, toxicity.train(d, labels)).collect()} for d in (docs, wide)]
+    assert both[0] == both[1]
+    # Copies of an example: its smallest id stands for them, so that ties and evidence are the same in every run.
+    few = docs.filter("doc_id >= 10")
+    source, twin = (next(i for i in some if zlib.crc32(str(i).encode()) % toxicity.FOLDS != toxicity.HELD_OUT) for some in (range(14, 150, 7), range(5000, 5100)))
+    twice = few.filter(F.col("doc_id") == source).withColumn("doc_id", F.lit(twin).cast("long")).union(few)
+    ids = toxicity.train(twice, labels.union(spark.createDataFrame([(twin, 1, 1)], labels.schema))).ids.tolist()
+    assert source in ids and twin not in ids
+
+
 def test_toxicity_indexes_all_terms_of_the_examples(spark):
     import math
     from collections import Counter
@@ -449,6 +584,16 @@ def test_url_keys_count_whole(spark, monkeypatch, few):
     assert got == {1: (1, f"{long}/b", True)} | {i: (0, None, False) for i in (2, 3, 4, 5)}
 
 
+def test_long_urls_and_odd_columns(spark):
+    """100,000 path segments against short keys, a listed key that ends inside them, and columns with names of the operator's own."""
+    path = "/".join(f"s{i % 97}" for i in range(100_000))
+    e = spark.createDataFrame([("l", "block", "x.com/s0/s1/s2", "add", "2024-01-01"), ("l", "block", "deep.a.b.c.org", "add", "2024-01-01")], "list string, kind string, key string, action string, day string").withColumn("day", F.col("day").cast("timestamp"))
+    rows = [(1, f"http://x.com/{path}"), (2, f"http://x.com/s0/s1x/{path}"), (3, "http://" + "z." * 5000 + "deep.a.b.c.org/" + path), (4, "http://a.b.c.org/")]
+    c = spark.createDataFrame(rows, "page_id long, url string").withColumn("fetch_time", F.lit("2024-01-10").cast("timestamp")).withColumn("key", F.lit("x")).withColumn("digest", F.lit(1)).withColumn("host", F.lit("y"))
+    got = {r.page_id: (r.rule, r.blocked) for r in url_filters.filter_urls(c, e).collect()}
+    assert got == {1: ("x.com/s0/s1/s2", True), 2: (None, False), 3: ("deep.a.b.c.org", True), 4: (None, False)}
+
+
 def test_warc_round_trip(spark, tmp_path):
     import base64
 
@@ -472,6 +617,48 @@ def test_warc_round_trip(spark, tmp_path):
     assert warc.read_archive(spark, f"{tmp_path}/b").count() == 0
 
 
+def brute_pipeline(rows, items):
+    """Stages 1 to 4 on (doc_id, text): the ids and texts that are left."""
+    def keeps(t):
+        n, _, _, _, windows, covered, longest = brute_quality(t)
+        return not (n < 50 or 100 * windows > 50 * n or covered > 0.3 * n or (longest >= 10 and longest > 0.2 * n))
+
+    left = [(i, t) for i, t in rows if keeps(t)]
+    named = [(i, t) for i, t in left if i is not None]
+    # Rows of one id are one document; rows without an id are in no class.
+    classes = brute_classes(dict(named).items())
+    first = {i: t for i, t in reversed(named) if classes[i] == i}
+    left = [*first.items(), *((i, t) for i, t in left if i is None)]
+    left = [(i, t) for i, t in left if not brute_hits(t, items)[1]]
+    return sorted(((i, pii.mask(t)) for i, t in left), key=str)
+
+
+def test_pipeline_matches_brute_force(spark, tmp_path):
+    import corpus_pipeline
+
+    r, passage, shared = random.Random(77), prose(300, 30), prose(301, 60)
+    rows = [(1000 + i, prose(400 + i, r.randint(20, 160))) for i in range(40)]
+    rows += [(1100 + i, " ".join(replaced(rows[i][1].split(), i, 0.05 * (i % 4)))) for i in range(0, 40, 3)]
+    rows += [(200 + i, prose(500 + i, 70) + " " + passage) for i in range(4)] + [(210 + i, prose(520 + i, 80) + " " + shared) for i in range(6)]
+    rows += [(220, "mail a@b.co or call +1 411 555 1507 " + prose(600, 90)), (221, "same words " * 90), (222, prose(601, 40) + (" " + prose(602, 30)) * 4)]
+    rows += [*AWKWARD, (None, prose(603, 100)), (None, prose(603, 100)), rows[0], rows[5]]
+    items = [(1, passage), (2, "two words"), (3, None)]
+    for name, table in (("some", rows), ("none", [])):
+        docs_of(spark, table, extra=True).write.parquet(f"{tmp_path}/{name}/documents.parquet")
+        spark.createDataFrame(items, "item_id long, text string").write.parquet(f"{tmp_path}/{name}/benchmark.parquet")
+        docs = spark.read.parquet(f"{tmp_path}/{name}/documents.parquet")
+        columns = docs.columns
+        for stage, (_, function) in enumerate(corpus_pipeline.STAGES[:-1]):
+            function(spark, docs, f"{tmp_path}/{name}").write.parquet(f"{tmp_path}/{name}/stage{stage}")
+            docs = spark.read.parquet(f"{tmp_path}/{name}/stage{stage}")
+            assert docs.columns == columns
+        got = sorted(((x.doc_id, x.text) for x in docs.collect()), key=str)
+        want = brute_pipeline(table, items)
+        assert got == want
+        packed = corpus_pipeline.STAGES[-1][1](spark, docs, f"{tmp_path}/{name}").collect()
+        assert collections.Counter(x.doc_id for x in packed if x.piece == 0) == collections.Counter(i for i, _ in got)
+
+
 def test_pipeline(spark, tmp_path):
     import corpus_pipeline
 
