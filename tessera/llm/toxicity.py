@@ -4,9 +4,13 @@
    toxic and ``MAX_CLEAN`` clean ones with the least hash of their id.
 2. Terms: all words of the sample.  Inverse
    document frequencies count every document of the corpus.
-3. The examples' vectors: terms that many examples have are multiplied as a matrix
-   in single precision, the others by their postings.  Whatever single precision
-   leaves open about the k best is computed again in double, so they are exact.
+3. The examples' vectors, in an inverted index by blocks of alike examples.  Rarer
+   terms add up by their postings.  For the common ones, which nearly every text
+   has, each block keeps its maximum of every term: where a block's best sum so far
+   and its maxima together stay below the k-th best cosine of examples already
+   known, no example in it can be among the k best, and it is passed over.  The
+   others are multiplied as matrices in single precision; whatever that leaves open
+   about the k best is computed again in double, so they are exact.
 4. The neighbours vote by cosine and class weight; a logistic curve, fitted on
    the examples' votes without themselves, turns the vote, and the number of
    telling terms in the text, into a probability.  Telling terms are far more
@@ -19,7 +23,7 @@ neighbours: it gets the (smoothed) toxic share of such examples.
 
 Edge cases: a null text is an empty one; without toxic and clean examples every
 score is the smoothed share of toxic ones; repeated rows each give a row; ties
-in cosine go to the example first in the index; an empty table gives an empty result.
+in cosine go to the example of the smallest id; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -29,7 +33,6 @@ import zlib
 from collections import Counter
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, fields
-from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -44,6 +47,10 @@ MAX_TOXIC, MAX_CLEAN, MAX_TERMS = 4_000, 8_000, 2_000
 #: A telling term: in at least so many toxic rows, so much likelier in them, with such a chi-square.
 LEAST_TOXIC, LEAST_SHARE, LIFT, CHI_SQUARE = 3, 0.004, 5.0, 25.0
 NEIGHBOURS, BLOCK = 15, 64
+#: Groups of alike examples that lie side by side, and rounds that find them.
+CLUSTERS, ROUNDS = 24, 6
+#: Texts whose blocks are multiplied together.
+TOGETHER = 16
 #: A term in more than one of so many examples counts as common.
 DENSE = 16
 _WORD = re.compile(r"\w+")
@@ -109,6 +116,8 @@ class Index:
         self.matrix = np.zeros((self.dense, n), np.float32)
         common = order[: self.posts[self.dense]]
         self.matrix[self.numbers[common], of[common]] = self.unit[common]
+        self.edges = np.arange(0, n, BLOCK)
+        self.most = np.maximum.reduceat(self.matrix, self.edges, axis=1) if n else np.zeros((self.dense, 0), np.float32)
         rare = order[self.posts[self.dense] :]
         self.posts = self.posts - len(common)
         self.members, self.parts = of[rare].astype(np.intp), self.unit[rare]
@@ -127,26 +136,6 @@ class Index:
         self.terms = _unfold(state["terms"])
         self.__post_init__()
 
-    @cached_property
-    def rows(self) -> np.ndarray:
-        """For each block of examples and term its row in ``blocks``, or -1: a dense layout, for small indexes only."""
-        found = np.full((-(-len(self.ids) // BLOCK), len(self.terms)), -1, np.int32)
-        for b in range(len(found)):
-            here = np.unique(self.numbers[self.starts[b * BLOCK] : self.starts[min((b + 1) * BLOCK, len(self.ids))]])
-            found[b, here] = np.arange(len(here))
-        return found
-
-    @cached_property
-    def blocks(self) -> list[np.ndarray]:
-        found = []
-        for b, rows in enumerate(self.rows):
-            members = range(b * BLOCK, min((b + 1) * BLOCK, len(self.ids)))
-            found.append(np.zeros((int(rows.max(initial=-1)) + 1, len(members))))
-            for j, i in enumerate(members):
-                at = slice(self.starts[i], self.starts[i + 1])
-                found[-1][rows[self.numbers[at]], j] = self.unit[at]
-        return found
-
     def vector(self, text: str | None) -> tuple[np.ndarray, np.ndarray]:
         """Term numbers and unit weights of a text."""
         get = self.terms.get
@@ -166,28 +155,59 @@ class Index:
         """``nearest`` of many vectors."""
         for begin in range(0, len(vectors), BLOCK):
             some = vectors[begin : begin + BLOCK]
-            common = np.zeros((len(some), self.dense), np.float32)
-            for i, (terms, weights) in enumerate(some):
-                low = terms < self.dense
-                common[i, terms[low]] = weights[low]
-            for i, cosines in enumerate(common @ self.matrix):
-                yield self._best(*some[i], cosines, without[begin + i] if without else -1)
-
-    def _best(self, terms: np.ndarray, weights: np.ndarray, near: np.ndarray, without: int) -> tuple[np.ndarray, np.ndarray]:
-        """``near`` are the cosines over the common terms, in single precision."""
+            near = self._near(some, without[begin : begin + BLOCK] if without else [-1] * len(some))
+            for (terms, weights), cosines in zip(some, near, strict=True):
+                yield self._best(terms, weights, cosines)
+
+    def _near(self, vectors: list[tuple[np.ndarray, np.ndarray]], without: list[int]) -> np.ndarray:
+        """The cosines of some vectors to all examples, common terms in single precision; -1 where a block is passed over."""
+        n = len(self.ids)
+        common, near = np.zeros((len(vectors), self.dense), np.float32), np.zeros((len(vectors), n))
+        for i, (terms, weights) in enumerate(vectors):
+            low = terms < self.dense
+            common[i, terms[low]] = weights[low]
+            if not low.all():
+                begin = self.posts[terms[~low]]
+                sizes = self.posts[terms[~low] + 1] - begin
+                ends = np.cumsum(sizes)
+                at = np.repeat(begin - ends + sizes, sizes) + np.arange(ends[-1])
+                near[i] = np.bincount(self.members[at], self.parts[at] * np.repeat(weights[~low], sizes), n)
+            if without[i] >= 0:
+                near[i, without[i]] = -9
+        if not n or not self.dense:
+            return near
+        bound = np.maximum.reduceat(near, self.edges, axis=1) + common @ self.most
+        first = bound.argmax(axis=1)
+        # The k-th best cosine of the most promising block is a floor for the k-th best of all.
+        floor = np.full(len(vectors), -9.0)
+        for i, b in enumerate(first.tolist()):
+            at = slice(b * BLOCK, min((b + 1) * BLOCK, n))
+            if at.stop - at.start >= self.k:
+                floor[i] = np.partition(near[i, at] + common[i] @ self.matrix[:, at], -self.k)[-self.k] - self.slack
+        alive = bound >= floor[:, None]
+        # Texts that are nearest to the same blocks leave the same ones to multiply.
+        order = np.argsort(first, kind="stable")
+        for begin in range(0, len(order), TOGETHER):
+            group = order[begin : begin + TOGETHER]
+            left = alive[group].any(axis=0)
+            change = [0, *(np.flatnonzero(left[1:] != left[:-1]) + 1).tolist(), len(left)]
+            for one, two in zip(change[:-1], change[1:], strict=True):
+                at = slice(one * BLOCK, two * BLOCK)
+                if left[one]:
+                    near[group, at] += common[group] @ self.matrix[:, at]
+                else:
+                    near[group, at] = -1
+        return near
+
+    @property
+    def slack(self) -> float:
+        """Twice what single precision can be off by."""
+        return 2 * (self.dense + 8) * 2.0**-23
+
+    def _best(self, terms: np.ndarray, weights: np.ndarray, near: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         n = len(near)
-        high = terms >= self.dense
-        if high.any():
-            begin = self.posts[terms[high]]
-            sizes = self.posts[terms[high] + 1] - begin
-            ends = np.cumsum(sizes)
-            at = np.repeat(begin - ends + sizes, sizes) + np.arange(ends[-1])
-            near = near + np.bincount(self.members[at], self.parts[at] * np.repeat(weights[high], sizes), n)
-        if without >= 0:
-            near[without] = 0
-        # Twice what single precision can be off by; what is that near is computed again in double.
-        slack = 2 * (self.dense + 8) * 2.0**-23
-        least = np.partition(near, n - self.k)[n - self.k] - slack if n > self.k else 0.0
+        # What single precision can't tell from the k-th best is computed again in double.
+        least = np.partition(near, n - self.k)[n - self.k] - self.slack if n > self.k else 0.0
         at = np.flatnonzero(near >= least) if least > 0 else np.flatnonzero(near > 0)
         if not len(at):
             return at, np.zeros(0)
@@ -197,7 +217,7 @@ class Index:
         products = np.concatenate([self.unit[s] for s in spans]) * self.query[np.concatenate([self.numbers[s] for s in spans])]
         self.query[terms] = 0
         cosine = np.add.reduceat(products, np.r_[0, np.cumsum(end - begin)[:-1]])
-        by = np.lexsort((at, -cosine))[: self.k]
+        by = np.lexsort((self.ids[at], -cosine))[: self.k]
         return at[by], cosine[by]
 
     def vote(self, at: np.ndarray, cosine: np.ndarray) -> float:
@@ -222,9 +242,29 @@ class Index:
             yield float(1 / (1 + np.exp(-(a * vote + s * telling + b)))), self.ids[at], cosine
 
 
+def arranged(examples: list[tuple[int, int, np.ndarray, np.ndarray]], idf: np.ndarray) -> np.ndarray:
+    """An order of the examples in which alike ones follow each other: by the nearest of a few centres over their common terms."""
+    n = len(examples)
+    if n <= BLOCK:
+        return np.arange(n)
+    seen = np.bincount(np.concatenate([e[2] for e in examples]), minlength=len(idf))
+    rows = np.zeros((n, int((seen > n / DENSE).sum())), np.float32)
+    for i, (_, _, terms, counts) in enumerate(examples):
+        low = terms < rows.shape[1]
+        rows[i, terms[low]] = (1 + np.log(counts[low])) * idf[terms[low]]
+    rows /= np.maximum(np.sqrt((rows * rows).sum(axis=1)), 1e-9)[:, None]
+    centres = rows[np.linspace(0, n - 1, CLUSTERS).astype(int)]
+    for _ in range(ROUNDS):
+        of = (rows @ centres.T).argmax(axis=1)
+        sums = np.stack([rows[of == c].sum(axis=0) if (of == c).any() else centres[c] for c in range(CLUSTERS)])
+        centres = sums / np.maximum(np.sqrt((sums * sums).sum(axis=1)), 1e-9)[:, None]
+    return np.lexsort(([e[0] for e in examples], (rows @ centres.T).argmax(axis=1)))
+
+
 def build_index(terms: list[str], idf: np.ndarray, telling: np.ndarray, examples: list[tuple[int, int, np.ndarray, np.ndarray]], weights: tuple[float, float], k: int = NEIGHBOURS) -> Index:
     """The index of (doc_id, toxic, term numbers in order, counts) with the class weights (clean, toxic), and its calibration."""
     some = [e for e in examples if len(e[2])]
+    some = [some[i] for i in arranged(some, idf)]
     toxic = np.array([e[1] for e in some], float)
     join = lambda j: np.concatenate([np.zeros(0, np.int32), *(e[j] for e in some)]).astype(np.int32)
     starts = np.cumsum([0, *(len(e[2]) for e in some)])

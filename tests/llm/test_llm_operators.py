@@ -491,10 +491,9 @@ def test_toxicity_is_exact_and_learns(spark):
     assert sum(r.predicted == (r.doc_id % 7 == 0) for r in test) / len(test) > 0.9
     # Block-max search against the whole matrix.
     whole = np.zeros((len(index.ids), len(index.terms)))
-    for b, block in enumerate(index.blocks):
-        for t in range(len(index.terms)):
-            if index.rows[b, t] >= 0:
-                whole[b * toxicity.BLOCK : b * toxicity.BLOCK + block.shape[1], t] = block[index.rows[b, t]]
+    for i in range(len(index.ids)):
+        at = slice(index.starts[i], index.starts[i + 1])
+        whole[i, index.numbers[at]] = index.unit[at]
     for r in docs.limit(60).collect():
         terms, weights = index.vector(r.text)
         cosine = whole[:, terms] @ weights if len(terms) else np.zeros(len(whole))
@@ -505,6 +504,33 @@ def test_toxicity_is_exact_and_learns(spark):
     assert len({r.score for r in blank}) == 1
 
 
+def test_blocks_are_passed_over_without_losing_neighbours(monkeypatch):
+    """Texts of several vocabularies: most blocks are passed over, and the nearest are those of the whole matrix."""
+    import numpy as np
+
+    monkeypatch.setattr(toxicity, "BLOCK", 8)
+    r = random.Random(5)
+    books = [[f"{c}{i}" for i in range(60)] for c in "abcd"]
+    texts = [r.choices(books[i % 4], weights=range(60, 0, -1), k=r.randint(10, 80)) for i in range(400)]
+    df = collections.Counter(w for t in texts for w in set(t))
+    terms = sorted(df, key=lambda w: (-df[w], w))
+    number, idf = {w: i for i, w in enumerate(terms)}, np.array([np.log(400 / df[w]) + 1 for w in terms])
+    examples = [(i, i % 2, *map(np.array, zip(*sorted(collections.Counter(number[w] for w in t).items())))) for i, t in enumerate(texts[:300])]
+    examples = [(i, y, t.astype(np.int32), c.astype(np.int32)) for i, y, t, c in examples]
+    index = toxicity.build_index(terms, idf, np.zeros(len(terms), bool), examples, (1.0, 1.0), k=5)
+    whole = np.zeros((300, len(terms)))
+    for i, _, t, c in examples:
+        whole[i, t] = (1 + np.log(c)) * idf[t]
+    whole /= np.sqrt((whole * whole).sum(axis=1))[:, None]
+    queries = [index.vector(" ".join(t)) for t in texts[300:]]
+    monkeypatch.setattr(toxicity, "TOGETHER", 1)
+    assert index.dense and (index._near(queries, [-1] * 100) == -1).mean() > 0.3
+    for (terms_of, weights), (at, cosine) in zip(queries, index.search(queries), strict=True):
+        every = whole[:, terms_of] @ weights
+        want = np.lexsort((np.arange(300), -every))[:5]
+        assert index.ids[at].tolist() == want.tolist() and np.allclose(cosine, every[want])
+
+
 def test_toxicity_on_odd_tables(spark):
     docs, labels, _ = labelled_docs(spark, 150)
     index = toxicity.train(docs, labels)
