@@ -69,6 +69,35 @@ def exact_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return d.groupBy("k").agg(F.min("doc_id").alias("first_id"), F.count("*").alias("n")).filter("n > 1").select("first_id", "n")
 
 
+def exact_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The documents whose normalized text is that of the first one."""
+    rows = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("source_id"), "text")
+    first = rows.filter("text is not null").orderBy("source_id").first()["text"]
+    return search.exact(rows, f"  {first.upper()} ").select("source_id", "score")
+
+
+def semantic_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The vectors nearest to the first one."""
+    e = table(spark, sf_dir, "embeddings").select("vec_id", F.transform("embedding", lambda x: x.cast("double")).alias("embedding"))
+    query = e.orderBy("vec_id").first()["embedding"]
+    return search.semantic(e, F.lit(query), 10, tie="vec_id").select("vec_id", F.round("score", 6).alias("score"))
+
+
+def coverage_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    w = world(spark, sf_dir)
+    return relational.coverage(w, w.evidence.select("document_id").distinct())
+
+
+def provenance_of_nation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What a nation rests on: the edges of its customers and suppliers, and its own."""
+    return relational.provenance(world(spark, sf_dir), "nation:7").select("via", "evidence_id")
+
+
+def edges_of_nation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    start = spark.range(1).select(F.lit("nation:7").alias("entity_id"))
+    return graph.hop_edges(world(spark, sf_dir).relationships, start, "both").select("from_id", "entity_id", "predicate")
+
+
 def fuzzy_ratio(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All pairs of the distinct part names, scored; they are a dictionary, which is counted before it is broadcast."""
     names = table(spark, sf_dir, "part").select(F.col("p_name").alias("a")).distinct()
@@ -210,7 +239,7 @@ def rank_desc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return relational.ranked(rows, 10).select("o_orderkey", "rank")
 
 
-QUERIES = {f.__name__: f for f in (normalize_money, normalize_date, normalize_percent, normalize_unit, infer, header_predicate, text_normalize, exact_lookup, fuzzy_ratio, fuzzy_topk, predicate_match, hash_embedding, cosine_topk, hybrid_topk, resolve_status, resolve_or_create, k_hop, shortest_path, graph_counts, upsert_latest, incremental_new, conflicts, stable_id, fingerprint, report_counts, type_histogram, shape_score, column_index, token_coverage, chunk_batches, rank_desc)}
+QUERIES = {f.__name__: f for f in (normalize_money, normalize_date, normalize_percent, normalize_unit, infer, header_predicate, text_normalize, exact_lookup, exact_search, semantic_search, coverage_counts, provenance_of_nation, edges_of_nation, fuzzy_ratio, fuzzy_topk, predicate_match, hash_embedding, cosine_topk, hybrid_topk, resolve_status, resolve_or_create, k_hop, shortest_path, graph_counts, upsert_latest, incremental_new, conflicts, stable_id, fingerprint, report_counts, type_histogram, shape_score, column_index, token_coverage, chunk_batches, rank_desc)}
 
 _NORMAL = r"trim(regexp_replace(lower({}), '[^\p{{L}}\p{{N}}]+', ' ', 'g'))"
 _LCS = (
@@ -236,6 +265,22 @@ FROM orders GROUP BY ALL""",
     "header_predicate": "SELECT ['contract_value', 'amount', 'rate', 'quantity', 'item_number', 'description', 'date', 'unit', NULL][p_partkey % 9 + 1] AS predicate, count(*) AS n FROM part GROUP BY ALL",
     "text_normalize": f"SELECT doc_id, md5({_NORMAL.format('text')}) AS digest FROM documents",
     "exact_lookup": f"SELECT min(doc_id) AS first_id, count(*) AS n FROM documents GROUP BY {_NORMAL.format('text')} HAVING count(*) > 1",
+    "exact_search": f"SELECT doc_id AS source_id, 100.0::DOUBLE AS score FROM documents WHERE {_NORMAL.format('text')} = (SELECT {_NORMAL.format('text')} FROM documents WHERE text IS NOT NULL ORDER BY doc_id LIMIT 1)",
+    "semantic_search": "WITH e AS (SELECT vec_id, embedding::DOUBLE[] AS v FROM embeddings), q AS (SELECT v AS qv FROM e ORDER BY vec_id LIMIT 1) SELECT vec_id, round(list_dot_product(v, qv) / (sqrt(list_dot_product(v, v)) * sqrt(list_dot_product(qv, qv)) + 1e-9), 6) AS score FROM e, q ORDER BY list_dot_product(v, qv) / (sqrt(list_dot_product(v, v)) * sqrt(list_dot_product(qv, qv)) + 1e-9) DESC, vec_id LIMIT 10",
+    "coverage_counts": """
+SELECT (SELECT count(*) FROM documents) AS documents, (SELECT count(*) FROM documents) AS evidence, 0::BIGINT AS facts,
+  (SELECT count(*) FROM region) + (SELECT count(*) FROM nation) + (SELECT count(*) FROM customer) + (SELECT count(*) FROM supplier) + (SELECT count(*) FROM part) + (SELECT count(*) FROM orders) AS entities,
+  (SELECT count(*) FROM orders) + (SELECT count(*) FROM customer) + (SELECT count(*) FROM supplier) + (SELECT count(*) FROM nation) + 2 * (SELECT count(*) FROM lineitem) AS relationships,
+  2 * (SELECT count(*) FROM customer) + (SELECT count(*) FROM supplier) + 3 * (SELECT count(*) FROM part) + 4 * (SELECT count(*) FROM orders) AS attributes,
+  0::BIGINT AS mentions, 0::BIGINT AS documents_covered, 0::BIGINT AS vectors""",
+    "provenance_of_nation": """
+SELECT 'relationship' AS via, 'ev:customer:' || c_custkey AS evidence_id FROM customer WHERE c_nationkey = 7
+UNION SELECT 'relationship', 'ev:supplier:' || s_suppkey FROM supplier WHERE s_nationkey = 7
+UNION SELECT 'relationship', 'ev:nation:7'""",
+    "edges_of_nation": """
+SELECT 'nation:7' AS from_id, 'customer:' || c_custkey AS entity_id, 'located_in' AS predicate FROM customer WHERE c_nationkey = 7
+UNION ALL SELECT 'nation:7', 'supplier:' || s_suppkey, 'located_in' FROM supplier WHERE s_nationkey = 7
+UNION ALL SELECT 'nation:7', 'region:' || n_regionkey, 'part_of' FROM nation WHERE n_nationkey = 7""",
     "fuzzy_ratio": f"WITH n AS (SELECT DISTINCT p_name FROM part), p AS (SELECT x.p_name AS a, y.p_name AS b FROM n x JOIN n y ON x.p_name < y.p_name) SELECT a, b, round(200.0::DOUBLE * {_LCS.format(a='a', b='b')} / (len(a) + len(b)), 6) AS ratio FROM p",
     "fuzzy_topk": f"""
 WITH n AS (SELECT DISTINCT p_name, {_SORTED} AS k, 'green small wdget' AS q FROM part),
