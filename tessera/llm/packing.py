@@ -258,7 +258,7 @@ def _pieces(capacity: int):
         for batch in batches:
             rows: list[list[int]] = [[], [], [], [], []]
             for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                ids = np.array([*tokens.encode(enc, text.as_py() or ""), SEPARATOR], "<u4")
+                ids = np.append(tokens.encode(enc, text.as_py() or ""), np.uint32(SEPARATOR)).astype("<u4", copy=False)
                 start, end = 0, (len(ids) - 1) % capacity + 1
                 piece = 0
                 while start < len(ids):

@@ -14,6 +14,7 @@ import re
 from collections.abc import Iterator
 from functools import lru_cache
 
+import numpy as np
 import public_tokenizers
 
 RANKS = "byte_bpe_50k.tiktoken"
@@ -49,18 +50,18 @@ def parts(text: str, size: int = PART_CHARS) -> Iterator[str]:
     yield text[start:] if start else text
 
 
-def encode(enc, text: str) -> list[int]:
-    """All ids of one text."""
-    if len(text) <= PART_CHARS:
-        return enc.encode(text, allowed_special="all")
-    out: list[int] = []
+def arrays(enc, text: str) -> Iterator[np.ndarray]:
+    """The ids of one text, part by part, as unsigned 32-bit integers."""
     for part in parts(text):
-        out += enc.encode(part, allowed_special="all")
-    return out
+        yield enc.encode_to_numpy(part, allowed_special="all")
+
+
+def encode(enc, text: str) -> np.ndarray:
+    """All ids of one text: four bytes each, however long it is."""
+    found = list(arrays(enc, text))
+    return found[0] if len(found) == 1 else np.concatenate(found)
 
 
 def length(enc, text: str) -> int:
     """The number of ids of one text, without keeping them."""
-    if len(text) <= PART_CHARS:
-        return len(enc.encode(text, allowed_special="all"))
-    return sum(len(enc.encode(part, allowed_special="all")) for part in parts(text))
+    return sum(map(len, arrays(enc, text)))

@@ -42,7 +42,7 @@ def test_ids_are_those_of_the_tokenizers_library():
     slow, enc = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json")), tokens.encoder()
     texts = [t or "" for _, t in AWKWARD] + ["it's 12 o'clock!!  \n\n x", "<|endoftext|><|endoftext|>", "  lead", "trail  ", "  x 9½ ²", prose(3, 30_000)]
     for text, got in zip(texts, slow.encode_batch(texts, add_special_tokens=False), strict=True):
-        assert tokens.encode(enc, text) == got.ids
+        assert tokens.encode(enc, text).tolist() == got.ids
         assert tokens.length(enc, text) == len(got.ids)
 
 
@@ -50,6 +50,18 @@ def test_parts_join_to_the_text():
     text = prose(2, 40_000)
     assert "".join(tokens.parts(text, 1000)) == text
     assert list(tokens.parts("x" * 5000, 1000)) == ["x" * 5000]
+    r = random.Random(6)
+    cyrillic = " ".join("".join(r.choice("абвгдежз") for _ in range(r.randint(1, 9))) for _ in range(30_000))
+    chinese = "".join(r.choice("中文字符测试。，！") for _ in range(30_000))
+    odd = "".join(r.choice(["a", "é", " ", "  ", "\n", "'s", "²", "_", "|", "<|endoftext|>", "endoftext|>", "日", "、", "!", "\x1c", " x y", "9"]) for _ in range(60_000))
+    from tokenizers import Tokenizer
+    import public_tokenizers
+
+    slow, enc = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json")), tokens.encoder()
+    for text in (cyrillic, chinese, odd):
+        found = list(tokens.parts(text, 1000))
+        assert "".join(found) == text and max(map(len, found)) < 1500
+        assert [i for p in found for i in enc.encode(p, allowed_special="all")] == slow.encode(text, add_special_tokens=False).ids
     assert list(tokens.parts("")) == [""]
 
 
