@@ -138,7 +138,7 @@ class Engine:
         return search.fuzzy(self.world.entities, query, limit, 1e-9, "name", "entity_id")
 
     def resolve_entity(self, query: str, entity_type: str | None = None) -> DataFrame:
-        return resolve.resolve_text(self.world.entities, query, entity_type)
+        return resolve.resolve_text(self.world.entities, query, entity_type, nodes=self.world.entities)
 
     def get_entity(self, entity_id: str) -> DataFrame:
         edges = self.world.relationships.filter((F.col("subject_id") == entity_id) | (F.col("object_id") == entity_id))

@@ -12,10 +12,13 @@ from tessera.functions.facts import stable_hex
 from tessera.functions.text import indel_ratio, normalize_text, token_sort_key
 from tessera.functions.vectors import cosine, hash_embedding
 from tessera.operators.relational import of_type
+from tessera.operators.search import fuzzy
 
 
 @dataclass(frozen=True)
 class Config:
+    """The weights of the signals, and the thresholds of a score."""
+
     lexical: float = 0.4
     semantic: float = 0.4
     graph: float = 0.1
@@ -33,6 +36,8 @@ class Config:
 DEFAULT = Config()
 #: Parts of the mentions of one type, so that a common type is compared by several tasks.
 SALTS = 16
+#: Nodes of a graph that a mention's text is close to.
+GRAPH_HITS = 5
 
 
 def scored(pairs: DataFrame, config: Config = DEFAULT) -> DataFrame:
@@ -67,10 +72,17 @@ def finalize(candidates: DataFrame, by: list[str], config: Config = DEFAULT, kee
     return top.withColumn("status", status).filter((F.col("status") == "ambiguous") | ((F.col("status") == "resolved") & (F.col("rank") == 1))).drop("second")
 
 
-def resolve_text(entities: DataFrame, query: str, entity_type: str | None = None, config: Config = DEFAULT, keep: int = 5) -> DataFrame:
-    """(entity_id, name, score, status) for one mention: the top of one scan, then five rows."""
+def resolve_text(entities: DataFrame, query: str, entity_type: str | None = None, config: Config = DEFAULT, keep: int = 5, nodes: DataFrame | None = None) -> DataFrame:
+    """(entity_id, name, score, status) for one mention: the top of one scan, then five rows.
+
+    With ``nodes`` (entity_id, name) of a graph, those among the ``GRAPH_HITS`` closest to the mention bring their closeness as the graph's signal.
+    """
     some = of_type(entities, entity_type)
     pairs = some.select("entity_id", "name", "aliases", "entity_type", F.lit(query).alias("mention_text"), F.lit(entity_type).cast("string").alias("mention_type"))
+    if nodes is not None:
+        # At most GRAPH_HITS rows.
+        hits = fuzzy(nodes, query, GRAPH_HITS, 1e-9, "name", "entity_id").groupBy("entity_id").agg((F.max("score") / 100).alias("graph_score"))
+        pairs = pairs.join(F.broadcast(hits), "entity_id", "left")
     top = scored(pairs, config).select("entity_id", "name", "score").orderBy(F.desc("score"), "entity_id").limit(keep)
     return finalize(top.withColumn("mention", F.lit(query)), ["mention"], config, keep).select("entity_id", "name", "score", "status")
 

@@ -121,6 +121,13 @@ def test_resolution_margins(spark):
         resolve.Config(lexical=0.9)
 
 
+def test_the_graph_is_a_signal(spark, golden):
+    plain = resolve.resolve_text(golden.entities, "metro authorty", "client").first()
+    with_graph = Engine(spark, golden).resolve_entity("metro authorty", "client").first()
+    ratio = search.name_ratio("metro authorty", "Metro Authority") / 100
+    assert with_graph.entity_id == plain.entity_id == "metro" and abs(with_graph.score - plain.score - 0.1 * ratio) < 1e-9
+
+
 def test_search(spark, golden):
     engine = Engine(spark, golden)
     assert engine.search_evidence("Bridge Alpha contract value", 3).count() == 3
