@@ -140,10 +140,17 @@ class Engine:
     def resolve_entity(self, query: str, entity_type: str | None = None) -> DataFrame:
         return resolve.resolve_text(self.world.entities, query, entity_type, nodes=self.world.entities)
 
-    def get_entity(self, entity_id: str) -> DataFrame:
-        edges = self.world.relationships.filter((F.col("subject_id") == entity_id) | (F.col("object_id") == entity_id))
+    def get_entity(self, entity_id: str, shown: int = 100) -> DataFrame:
+        """The entity, how many edges lead out and in, and the ids of the first of either; ``get_relationships`` has all."""
+        edges = self.get_relationships(entity_id)
         sides = edges.agg(F.count_if(F.col("subject_id") == entity_id).alias("n_out"), F.count_if(F.col("object_id") == entity_id).alias("n_in"))
-        return self.world.entities.filter(F.col("entity_id") == entity_id).crossJoin(sides)  # one row
+        found = self.world.entities.filter(F.col("entity_id") == entity_id).crossJoin(sides)  # one row
+        if "relationship_id" in edges.columns:
+            for side, name in (("subject_id", "out_ids"), ("object_id", "in_ids")):
+                # At most ``shown`` ids, taken before they are gathered.
+                some = edges.filter(F.col(side) == entity_id).select("relationship_id").orderBy("relationship_id").limit(shown)
+                found = found.crossJoin(some.agg(F.sort_array(F.collect_list("relationship_id")).alias(name)))  # one row
+        return found
 
     def get_relationships(self, entity_id: str) -> DataFrame:
         return self.world.relationships.filter((F.col("subject_id") == entity_id) | (F.col("object_id") == entity_id))
@@ -232,8 +239,8 @@ class Engine:
                 engine = engine.extract_documents(found, op.params.get("batch_size", 30))
         return engine
 
-    def ask(self, question: str, planner: verify.Planner | None = None, iterations: int = 3) -> verify.Answer:
-        return verify.ask(question, self.world, planner, iterations, self.schema_context() if planner else None)
+    def ask(self, question: str, planner: verify.Planner | None = None, iterations: int = 3, evidence_limit: int = 30) -> verify.Answer:
+        return verify.ask(question, self.world, planner, iterations, self.schema_context() if planner else None, evidence_limit)
 
     def call(self, tool: str, **params: Any) -> Any:
         """A tool by name; a name that isn't one, or wrong parameters, give an error and no exception."""
@@ -250,5 +257,5 @@ class Engine:
         for q in questions.select("qid", "question", "answer_type").collect():
             found = self.ask(q["question"], planner)
             number = found.count if found.count is not None and q["answer_type"] == "count" else found.value
-            rows.append((q["qid"], float(number) if isinstance(number, (int, float)) else None, q["answer_type"]))
+            rows.append((q["qid"], verify.answer_number(self.spark, number, q["answer_type"]), q["answer_type"]))
         writers.write_submission(self.spark.createDataFrame(rows, "question_id string, value double, answer_type string"), path)

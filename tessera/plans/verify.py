@@ -4,10 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Callable
 from dataclasses import dataclass, field
+from decimal import Decimal
 from typing import Any
 
+from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
+from tessera.functions.facts import coerce_number
 from tessera.kg import World
 from tessera.plans.compile import Binding, compile_plan
 from tessera.plans.ir import PlanError, QueryPlan, parse
@@ -129,6 +132,28 @@ def answer(plan: QueryPlan, world: World, evidence_limit: int = 30) -> Answer:
     return Answer(value, "verified", 1.0, issues, steps, evidence, count=count)
 
 
+#: The fields of an answer with several that hold its number.
+NUMBERS = ("value", "result", "total")
+
+
+def answer_number(spark: SparkSession, value: Any, kind: str) -> float | None:
+    """The number that an answer of any shape stands for; a list is its length for a count, else its only item."""
+    while True:
+        match value:
+            case bool() | int() | float() | Decimal():
+                return float(value)
+            case str():
+                return spark.range(1).select(coerce_number(F.lit(value)).alias("x")).first()["x"]
+            case list() if kind == "count":
+                return float(len(value))
+            case [value]:
+                pass
+            case dict():
+                value = next((value[k] for k in (*(("count",) if kind == "count" else ()), *NUMBERS) if k in value), None)
+            case _:
+                return None
+
+
 #: A planner: from the question, the schema and the issues so far to a plan, or None.
 Planner = Callable[[str, dict[str, list[str]], list[str]], dict | str | None]
 
@@ -139,7 +164,7 @@ def static_planner(*plans: dict | str) -> Planner:
     return lambda question, schema, issues: (left.pop(0) if len(left) > 1 else left[0]) if left else None
 
 
-def ask(question: str, world: World, planner: Planner | None = None, iterations: int = 3, schema: dict[str, list[str]] | None = None) -> Answer:
+def ask(question: str, world: World, planner: Planner | None = None, iterations: int = 3, schema: dict[str, list[str]] | None = None, evidence_limit: int = 30) -> Answer:
     """Plan, run, verify; with issues, plan again, a bounded number of times."""
     schema = schema or {}
     issues: list[str] = []
@@ -149,7 +174,7 @@ def ask(question: str, world: World, planner: Planner | None = None, iterations:
         if source is None:
             return last or Answer(None, "insufficient_evidence", 0.0, ["no plan"], [], [], 0)
         try:
-            last = answer(parse(source), world)
+            last = answer(parse(source), world, evidence_limit)
         except PlanError as error:
             last = Answer(None, "insufficient_evidence", 0.0, [str(error)], [], [])
         last.iterations = i

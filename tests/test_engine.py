@@ -121,6 +121,21 @@ def test_resolution_margins(spark):
         resolve.Config(lexical=0.9)
 
 
+def test_answers_of_any_shape(spark):
+    number = lambda value, kind="money": verify.answer_number(spark, value, kind)
+    assert [number(v) for v in (True, 5, 2.5, "1,000", "INR 2 Cr", ["7"], {"total": [3]}, {"other": 1}, [1, 2], None, "none")] == [1.0, 5.0, 2.5, 1000.0, 2e7, 7.0, 3.0, None, None, None, None]
+    assert [number(v, "count") for v in ([1, 2], [], {"count": 4, "value": 9}, {"value": ["a", "b"]})] == [2.0, 0.0, 4.0, 2.0]
+
+
+def test_settings_and_the_ids_of_an_entity(spark, golden):
+    from tessera.settings import Settings
+
+    assert Settings.read({}) == Settings() and Settings.read({"TESSERA_MAX_ITERATIONS": "5", "TESSERA_DOCUMENT_INDEX": "i.csv"}) == Settings(max_iterations=5, document_index="i.csv")
+    edges = golden.relationships.withColumn("relationship_id", F.concat(F.lit("r:"), "subject_id"))
+    found = Engine(spark, dataclasses.replace(golden, relationships=edges)).get_entity("metro").first()
+    assert (found.n_out, found.n_in, found.out_ids, found.in_ids) == (0, 2, [], ["r:alpha", "r:beta"])
+
+
 def test_the_graph_is_a_signal(spark, golden):
     plain = resolve.resolve_text(golden.entities, "metro authorty", "client").first()
     with_graph = Engine(spark, golden).resolve_entity("metro authorty", "client").first()
