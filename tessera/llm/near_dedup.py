@@ -17,15 +17,17 @@ its k-mers in common, so ``SKETCHES`` sketches of few k-mers find it nearly alwa
    of words can't reach the threshold are put aside without one.
 4. Verified pairs give components.  Buckets whose members lie in several are open.
    In open buckets of up to ``PAIRWISE`` members every pair of different components
-   is verified; in larger ones each member is paired with one more member of the
-   bucket, another one in each bucket.  Open buckets are large where a passage is
-   common to many texts; their members are sketched anew with three times the k-mers
-   in each sketch (``TAKEN``), which tells texts with one passage in common apart,
-   and go through the same steps.
-
-A pair is found with a probability, as with any sketch; the tests measure it, at
-each similarity.  Texts that share a common passage share other buckets, too, where
-they are near-duplicates, as the passage is then only a part of what they share.
+   is verified; in larger ones each member is first paired with one more member of the
+   bucket, another one in each bucket.
+5. Members of large buckets that are still open meet by their rarest words, which is
+   exact.  Near-duplicates share all but a fifth of the longer one's words, so in any
+   fixed order of the words they share ``SHARED`` among the first fifth and ``SHARED``
+   more of each.  All pairs of different components that do are verified; those with
+   the most such words first, as they join components and so spare others.
+
+So every pair of texts that share a bucket, of any size, is in one component, verified,
+or told apart by a bound that no near-duplicates miss.  A pair shares a bucket with a
+probability, as with any sketch; the tests measure it, at each similarity.
 
 Edge cases: a null text is an empty one, and all empty ones are copies; a text of
 under five words is one k-mer, so it only meets its equals up to case and blanks;
@@ -49,10 +51,16 @@ from tessera.llm.common import cut, drop_cut, join_groups, table, trim_memory
 SHINGLE = 5
 SIMILARITY = 0.8
 SKETCHES = 48
-#: k-mers in each sketch; the later ones for members of large open buckets.
-TAKEN = (2, 6)
-#: Members of a bucket among whom all pairs of different components are verified.
+#: k-mers in each sketch.
+TAKEN = 2
+#: Members of a bucket among whom all pairs of different components are verified; those of larger ones meet by rare words.
 PAIRWISE = 24
+#: Rare words that a pair of members of large buckets has to share.
+SHARED = 4
+#: Texts that tell how rare words are, and counters for it.  They only order the words: any order finds the same pairs.
+COUNTED, COUNTERS = 20_000, 1 << 20
+#: Parts of a word's texts that are looked at together.
+PARTS = 16
 #: Candidates whose ids are broadcast to pick their texts; beyond, the texts are shuffled to them.
 BROADCAST_IDS = 1_000_000
 SEED = 20_240_101
@@ -110,7 +118,7 @@ def labelled(s: np.ndarray) -> np.ndarray:
     return out
 
 
-def sketches(texts: list[np.ndarray], taken: int = TAKEN[0]) -> list[np.ndarray]:
+def sketches(texts: list[np.ndarray], taken: int = TAKEN) -> list[np.ndarray]:
     """Each text's sketches, as distinct 64-bit keys: the ``taken`` least k-mers under each hash, in text order."""
     from xxhash import xxh3_64_intdigest
 
@@ -185,14 +193,82 @@ def _arrays(column: pa.Array) -> list[np.ndarray]:
     return [values[i:j] for i, j in zip(at[:-1], at[1:], strict=True)]
 
 
-def _sketched(taken: int):
-    def again(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _allowed(n: int) -> int:
+    """Edits that a text of n words may be away from one that isn't longer."""
+    return int((1 - SIMILARITY) * n + 1e-9)
+
+
+def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    seen = np.zeros(COUNTERS, np.int64)
+    for batch in batches:
+        for words in _arrays(batch.column(0)):
+            seen[np.unique(labelled(_runs(words.view(np.uint32), 1)) % _U(COUNTERS))] += 1
+    at = np.flatnonzero(seen)
+    yield pa.RecordBatch.from_arrays([pa.array(at, pa.int32()), pa.array(seen[at], pa.int64())], names=["counter", "n"])
+
+
+def rare_words(texts: DataFrame) -> DataFrame:
+    """(id, n, rare) of texts (id, words): the first of their words, the rarest before others, repeated ones numbered."""
+    some = texts.orderBy(F.xxhash64("id"), "id").limit(COUNTED).select("words")
+    found = some.mapInArrow(_counted, "counter int, n long").groupBy("counter").agg(F.sum("n").alias("n")).toArrow()
+    counts = np.zeros(COUNTERS, np.int32)
+    counts[found["counter"].to_numpy()] = found["n"].to_numpy()
+    shared = texts.sparkSession.sparkContext.broadcast(counts)
+
+    def rarest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts = shared.value
+        for batch in batches:
+            words, rare = _arrays(batch.column(1)), []
+            for w in words:
+                t = labelled(_runs(w.view(np.uint32), 1))
+                rare.append(t[np.lexsort((t, counts[t % _U(COUNTERS)]))[: _allowed(len(w)) + SHARED]].view(np.int64))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(list(map(len, words)), pa.int32()), pa.array(rare, pa.list_(pa.int64()))], names=["id", "n", "rare"])
+        trim_memory()
+
+    return cut(texts.select("id", "words").mapInArrow(rarest, "id long, n int, rare array<long>"), "rare")
+
+
+def _meeting(most: int | None):
+    """Pairs of each text with those of larger components that it shares enough rare words with; or the ``most`` that share most."""
+
+    def pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            words = [x.view(np.uint32) for x in _arrays(batch.column(1))]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(list(map(len, words)), pa.int32()), pa.array([k.view(np.int64) for k in sketches(words, taken)], pa.list_(pa.int64()))], names=["id", "n", "keys"])
+            ones, others = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+            met, at = batch.column(4).values, batch.column(4).offsets.to_numpy()
+            ids, ns, sizes, comps = (met.field(k).to_numpy() for k in ("id", "n", "size", "component"))
+            mine = (batch.column(i).to_pylist() for i in range(4))
+            for x, n, size, comp, i, j in zip(*mine, at[:-1], at[1:], strict=True):
+                larger = (sizes[i:j] > size) | (sizes[i:j] == size) & (comps[i:j] > comp)
+                y, first, shared = np.unique(ids[i:j][larger], return_index=True, return_counts=True)
+                m = ns[i:j][larger][first]
+                good = (np.minimum(m, n) >= SIMILARITY * np.maximum(m, n) - 1e-9) & (shared >= np.minimum(SHARED, np.maximum(m, n)))
+                y = y[good]
+                if most is not None and len(y) > most:
+                    y = y[np.argsort(-shared[good], kind="stable")[:most]]
+                ones.append(np.full(len(y), x))
+                others.append(y)
+            x, y = np.concatenate(ones), np.concatenate(others)
+            yield pa.RecordBatch.from_arrays([pa.array(np.minimum(x, y)), pa.array(np.maximum(x, y))], names=["a", "b"])
         trim_memory()
 
-    return again
+    return pairs
+
+
+def meetings(rare: DataFrame, labels: DataFrame, most: int | None = None) -> DataFrame:
+    """The pairs (a, b) of different components among texts (id, n, rare) that may reach the threshold.
+
+    A word's texts are gathered in parts, and asked for by those of all its components but the largest.
+    """
+    placed = cut(rare.join(labels, "id", "left").withColumn("component", F.coalesce("component", "id")), "placed")
+    sizes = placed.groupBy("component").agg(F.count("*").alias("size"))
+    placed = cut(join_groups(placed, sizes, "component").repartition("id"), "placed")
+    rows = placed.select("id", "n", "size", "component", F.explode("rare").alias("word"))
+    of = F.struct("size", "component")
+    words = cut(rows.groupBy("word").agg(F.max(of).alias("top"), F.min(of).alias("low")).filter("low < top").drop("low"), "words")
+    asking = rows.join(words, "word").filter(of < F.col("top")).select("word", "id", "n", "size", "component")
+    there = rows.join(words, "word", "left_semi").groupBy("word", F.pmod(F.xxhash64("id"), F.lit(PARTS)).alias("part")).agg(F.collect_list(F.struct("id", "n", "size", "component")).alias("met"))
+    met = cut(asking, "asking").join(cut(there, "there"), "word").groupBy("id", "n", "size", "component", "part").agg(F.flatten(F.collect_list("met")).alias("met"))
+    return met.select("id", "n", "size", "component", "met").mapInArrow(_meeting(most), "a long, b long")
 
 
 def edits_within(a: np.ndarray, b: np.ndarray, most: int) -> int | None:
@@ -378,23 +454,25 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     tried = cut(_to_first(shared), "pairs")
     links = verify(tried, texts)
     labels = components(links)
-    for deeper in (*TAKEN[1:], None):
-        left = _open(shared, labels)
-        small, large = left.filter(F.col("m") <= PAIRWISE), left.filter(F.col("m") > PAIRWISE)
-        pairs = _within(small).union(_to_one(large))
-        if deeper != TAKEN[1]:
-            pairs = pairs.union(_to_first(left))
+
+    def more(pairs: DataFrame) -> None:
+        nonlocal tried, links, labels
         pairs = cut(pairs.distinct().join(tried, ["a", "b"], "left_anti"), "pairs")
         if pairs.limit(1).count():
             found = verify(pairs, texts)
             tried, links, labels = tried.union(pairs), links.union(found), joined_components(labels, found)
-        again = cut(large.select("id").distinct(), "again") if deeper else None
-        drop_cut(left)
-        drop_cut(shared)
-        if again is None or not again.limit(1).count():
-            break
-        found = texts.join(again, "id", "left_semi").mapInArrow(_sketched(deeper), "id long, n int, keys array<long>")
-        shared = _bucketed(cut(found, "deeper").select("id", "n", F.explode("keys").alias("key")))
+
+    left = _open(shared, labels)
+    more(_within(left.filter(F.col("m") <= PAIRWISE)).union(_to_one(left.filter(F.col("m") > PAIRWISE))))
+    drop_cut(left)
+    left = _open(shared.filter(F.col("m") > PAIRWISE), labels)
+    again = cut(left.select("id").distinct(), "again")
+    drop_cut(left)
+    drop_cut(shared)
+    if again.limit(1).count():
+        rare = rare_words(cut(texts.join(again, "id", "left_semi"), "large"))
+        for most in (1, None):
+            more(meetings(rare, labels, most))
     ends = links.select(F.explode(F.array("a", "b")).alias("id")).groupBy("id").agg(F.count("*").alias("n_links"))
     found = labels.join(ends, "id", "left").select(F.col("id").alias("rep"), "component", "n_links")
     out = join_groups(classes.select("doc_id", "rep"), found, "rep")

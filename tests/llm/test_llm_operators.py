@@ -376,6 +376,40 @@ def test_large_buckets_lose_no_near_copies(spark, monkeypatch):
     assert {got[200 + i] for i in range(40)} == {200}
 
 
+def test_pairs_that_share_only_large_buckets_are_found(spark, monkeypatch):
+    """Near copies whose only common k-mers lie in a passage that all texts have."""
+    monkeypatch.setattr(near_dedup, "PAIRWISE", 3)
+    passage, rows = prose(903, 100), []
+    for i in range(40):
+        own = [f"own{i}x{k}" for k in range(40)]
+        other = [f"new{i}x{k}" if k % 5 == 2 else w for k, w in enumerate(own)]
+        rows += [(i, " ".join(own) + " " + passage), (100 + i, " ".join(other) + " " + passage)]
+    got = {r.doc_id: r.class_id for r in near_dedup.near_duplicates(docs_of(spark, rows)).collect()}
+    assert got == {j: i for i in range(40) for j in (i, 100 + i)}
+
+
+def test_meetings_lose_no_near_copies(spark):
+    """Of few words, short and long, under any order of the words."""
+    import numpy as np
+
+    r, texts = random.Random(5), {}
+    for i in range(30):
+        texts[i] = [r.randrange(r.choice([4, 30])) for _ in range(r.randint(1, 60))]
+        near = list(texts[i])
+        for _ in range(r.randint(0, len(near) // 4)):
+            at = r.randrange(len(near) + 1)
+            near[at : at + r.randint(0, 2)] = [r.randrange(40) for _ in range(r.randint(0, 1))]
+        texts[100 + i] = near or [1]
+    rows = spark.createDataFrame(list(texts.items()), "id long, words array<int>")
+    rare = near_dedup.rare_words(rows)
+    alone = spark.createDataFrame([], "id long, component long")
+    got = {(p.a, p.b) for p in near_dedup.meetings(rare, alone).collect()}
+    words = {i: np.array(w, np.int32) for i, w in texts.items()}
+    assert got >= {(i, j) for i in words for j in words if i < j and near_dedup.similar(words[i], words[j])}
+    one = spark.createDataFrame([(i, 0) for i in texts], "id long, component long")
+    assert not near_dedup.meetings(rare, one).count()
+
+
 def test_near_duplicates_match_brute_force(spark):
     base, short = prose(40, 300), prose(41, 14)
     rows = [(i, edited(base, i, i % 7)) for i in range(2, 60)] + [(100, base), (101, base), (102, base)]
