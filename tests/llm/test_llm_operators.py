@@ -392,12 +392,12 @@ def test_pipeline_stage_keeps_one_of_pairs_in_large_buckets(spark, monkeypatch,
     import corpus_pipeline
 
     monkeypatch.setattr(near_dedup, "PAIRWISE", 3)
-    passage, rows = prose(904, 100), []
-    for i in range(12):
+    passage, rows = prose(903, 100), []
+    for i in range(40):
         own = [f"own{i}x{k}" for k in range(40)]
         rows += [(i, " ".join([*own, passage])), (100 + i, " ".join([*(f"new{i}x{k}" if k % 5 == 2 else w for k, w in enumerate(own)), passage]))]
     stage = dict(corpus_pipeline.STAGES)["near_dedup"]
-    assert sorted(r.doc_id for r in stage(spark, docs_of(spark, rows), str(tmp_path)).collect()) == list(range(12))
+    assert sorted(r.doc_id for r in stage(spark, docs_of(spark, rows), str(tmp_path)).collect()) == list(range(40))
 
 
 def test_meetings_lose_no_near_copies(spark):
