@@ -19,11 +19,13 @@ its k-mers in common, so ``SKETCHES`` sketches of few k-mers find it nearly alwa
    In open buckets of up to ``PAIRWISE`` members every pair of different components
    is verified; in larger ones each member is first paired with one more member of the
    bucket, another one in each bucket.
-5. Members of large buckets that are still open meet by their rarest words, which is
-   exact.  Near-duplicates share all but a fifth of the longer one's words, so in any
-   fixed order of the words they share ``SHARED`` among the first fifth and ``SHARED``
-   more of each.  All pairs of different components that do are verified; those with
-   the most such words first, as they join components and so spare others.
+5. Members of large buckets that are still open are told apart exactly.  An edit touches
+   two of a text's pairs of neighbouring words, so a text of whose pairs no other
+   component holds three fifths has no near-duplicate there; most that only share a
+   passage go by that.  The others meet by their rarest words.  Near-duplicates share
+   all but a fifth of the longer one's words, so in any fixed order of the words they
+   share ``SHARED`` among the first fifth and ``SHARED`` more of each.  All pairs that
+   do are verified while they lie in different components, each text's most alike first.
 
 So every pair of texts that share a bucket, of any size, is in one component, verified,
 or told apart by a bound that no near-duplicates miss.  A pair shares a bucket with a
@@ -39,6 +41,7 @@ no bucket, class or component is ever gathered in one task.
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -59,8 +62,14 @@ PAIRWISE = 24
 SHARED = 4
 #: Texts that tell how rare words are, and counters for it.  They only order the words: any order finds the same pairs.
 COUNTED, COUNTERS = 20_000, 1 << 20
-#: Parts of a word's texts that are looked at together.
-PARTS = 16
+#: Texts for each part of a word's texts that are looked at together, and parts at most.
+PART_TEXTS, PARTS = 4_096, 16
+#: Rounds that put aside texts without enough pairs of words in other components; each leaves fewer for the next.
+ROUNDS = 2
+#: Bits for each word, and in all, that tell which runs of words several components hold.  Runs that share a bit are kept.
+BITS_EACH, MOST_BITS = 16, 1 << 27
+#: Parts that these bits are gathered in.
+SLICES = 64
 #: Candidates whose ids are broadcast to pick their texts; beyond, the texts are shuffled to them.
 BROADCAST_IDS = 1_000_000
 SEED = 20_240_101
@@ -207,68 +216,141 @@ def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield pa.RecordBatch.from_arrays([pa.array(at, pa.int32()), pa.array(seen[at], pa.int64())], names=["counter", "n"])
 
 
+def _grams(words: np.ndarray, n: int) -> np.ndarray:
+    """A hash of the run of n words that ends in each word, repeated ones numbered."""
+    return labelled(_runs(np.concatenate([np.zeros(n - 1, np.uint32), words.view(np.uint32)]), n))
+
+
+def _by_text(texts: DataFrame) -> DataFrame:
+    """``texts`` (id, words), each its own component where it has none yet."""
+    return texts.select("id", "words", "component" if "component" in texts.columns else F.col("id").alias("component"))
+
+
+class Several:
+    """Which runs of n words texts (id, words, component) of several components hold; some others pass for such, too."""
+
+    def __init__(self, texts: DataFrame, n: int) -> None:
+        total = texts.agg(F.sum(F.size("words"))).first()[0] or 0
+        self.n, self.bits = n, min(max((BITS_EACH * total - 1).bit_length(), 16), MOST_BITS.bit_length() - 1)
+        bits = self.bits
+        each = (1 << bits) // SLICES
+
+        def places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                found = [_grams(w, n) >> _U(64 - bits) for w in _arrays(batch.column(1))]
+                at, of = np.concatenate([np.zeros(0, _U), *found]), np.repeat(batch.column(2).to_numpy(), [len(f) for f in found])
+                order = np.lexsort((of, at))
+                at, of = at[order].astype(np.int32), of[order]
+                new = np.r_[True, (at[1:] != at[:-1]) | (of[1:] != of[:-1])][: len(at)]
+                at, of = at[new], of[new]
+                ends = np.searchsorted(at, np.arange(SLICES + 1) * each)
+                lists = [pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(x)) for x in (at, of)]
+                yield pa.RecordBatch.from_arrays([pa.array(range(SLICES), pa.int32()), *lists], names=["slice", "at", "component"]).filter(pa.array(np.diff(ends) > 0))
+            trim_memory()
+
+        def gathered(rows: pa.Table) -> pa.Table:
+            at, of = (np.concatenate([c.flatten().to_numpy() for c in rows[k].chunks]) for k in ("at", "component"))
+            order = np.lexsort((of, at))
+            at, of = at[order], of[order]
+            held = np.zeros(each, bool)
+            held[at[1:][(at[1:] == at[:-1]) & (of[1:] != of[:-1])] % each] = True
+            return pa.table({"slice": rows["slice"][:1], "held": pa.array([zlib.compress(np.packbits(held).tobytes(), 1)], pa.binary())})
+
+        rows = texts.select("id", "words", "component").mapInArrow(places, "slice int, at array<int>, component array<long>")
+        # At most MOST_BITS in all come to the driver.
+        found = {r["slice"]: r["held"] for r in rows.groupBy("slice").applyInArrow(gathered, "slice int, held binary").collect()}
+        none = zlib.compress(bytes(each // 8), 1)
+        self.held = [found.get(i, none) for i in range(SLICES)]
+
+    def __getstate__(self) -> tuple:
+        return self.n, self.bits, self.held
+
+    def __setstate__(self, state: tuple) -> None:
+        self.n, self.bits, self.held = state
+        self.map = np.frombuffer(b"".join(map(zlib.decompress, self.held)), np.uint8)
+
+    def of(self, grams: np.ndarray) -> np.ndarray:
+        """Which of some runs these are."""
+        at = grams >> _U(64 - self.bits)
+        return (self.map[at >> _U(3)] >> (_U(7) - (at & _U(7))).astype(np.uint8) & 1).astype(bool)
+
+
+def plausible(texts: DataFrame) -> DataFrame:
+    """The texts (id, words, component) that may have a near-duplicate in another component: all that do, and few others.
+
+    Of the pairs of neighbouring words of the longer text, each edit changes two at most; so the shorter one has three fifths, too.
+    """
+    for _ in range(ROUNDS):
+        shared = texts.sparkSession.sparkContext.broadcast(Several(texts, 2))
+
+        def enough(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                good = [int(shared.value.of(_grams(w, 2)).sum()) >= (1 - 2 * (1 - SIMILARITY)) * len(w) - 1e-9 for w in _arrays(batch.column(1))]
+                yield batch.filter(pa.array(good, pa.bool_()))
+            trim_memory()
+
+        texts = cut(texts.select("id", "words", "component").mapInArrow(enough, "id long, words array<int>, component long"), "plausible")
+    return texts
+
+
 def rare_words(texts: DataFrame) -> DataFrame:
-    """(id, n, rare) of texts (id, words): the first of their words, the rarest before others, repeated ones numbered."""
+    """(id, n, rare) of texts (id, words): those of the first of their words, the rarest before others, repeated ones numbered, that other components have."""
+    texts = _by_text(texts)
     some = texts.orderBy(F.xxhash64("id"), "id").limit(COUNTED).select("words")
     found = some.mapInArrow(_counted, "counter int, n long").groupBy("counter").agg(F.sum("n").alias("n")).toArrow()
     counts = np.zeros(COUNTERS, np.int32)
     counts[found["counter"].to_numpy()] = found["n"].to_numpy()
-    shared = texts.sparkSession.sparkContext.broadcast(counts)
+    shared = texts.sparkSession.sparkContext.broadcast((counts, Several(texts, 1)))
 
     def rarest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts = shared.value
+        counts, several = shared.value
         for batch in batches:
             words, rare = _arrays(batch.column(1)), []
             for w in words:
-                t = labelled(_runs(w.view(np.uint32), 1))
-                rare.append(t[np.lexsort((t, counts[t % _U(COUNTERS)]))[: _allowed(len(w)) + SHARED]].view(np.int64))
+                t = _grams(w, 1)
+                t = t[np.lexsort((t, counts[t % _U(COUNTERS)]))[: _allowed(len(w)) + SHARED]]
+                rare.append(t[several.of(t)].view(np.int64))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(list(map(len, words)), pa.int32()), pa.array(rare, pa.list_(pa.int64()))], names=["id", "n", "rare"])
         trim_memory()
 
     return cut(texts.select("id", "words").mapInArrow(rarest, "id long, n int, rare array<long>"), "rare")
 
 
-def _meeting(most: int | None):
-    """Pairs of each text with those of larger components that it shares enough rare words with; or the ``most`` that share most."""
-
-    def pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            ones, others = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
-            met, at = batch.column(4).values, batch.column(4).offsets.to_numpy()
-            ids, ns, sizes, comps = (met.field(k).to_numpy() for k in ("id", "n", "size", "component"))
-            mine = (batch.column(i).to_pylist() for i in range(4))
-            for x, n, size, comp, i, j in zip(*mine, at[:-1], at[1:], strict=True):
-                larger = (sizes[i:j] > size) | (sizes[i:j] == size) & (comps[i:j] > comp)
-                y, first, shared = np.unique(ids[i:j][larger], return_index=True, return_counts=True)
-                m = ns[i:j][larger][first]
-                good = (np.minimum(m, n) >= SIMILARITY * np.maximum(m, n) - 1e-9) & (shared >= np.minimum(SHARED, np.maximum(m, n)))
-                y = y[good]
-                if most is not None and len(y) > most:
-                    y = y[np.argsort(-shared[good], kind="stable")[:most]]
-                ones.append(np.full(len(y), x))
-                others.append(y)
-            x, y = np.concatenate(ones), np.concatenate(others)
-            yield pa.RecordBatch.from_arrays([pa.array(np.minimum(x, y)), pa.array(np.maximum(x, y))], names=["a", "b"])
-        trim_memory()
-
-    return pairs
+def _meeting(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """All pairs of each text with those of larger components that it shares enough rare words with, and which of them shares most."""
+    for batch in batches:
+        ones, others, firsts = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0, bool)]
+        met, at = batch.column(4).values, batch.column(4).offsets.to_numpy()
+        ids, ns, sizes, comps = (met.field(k).to_numpy() for k in ("id", "n", "size", "component"))
+        mine = (batch.column(i).to_pylist() for i in range(4))
+        for x, n, size, comp, i, j in zip(*mine, at[:-1], at[1:], strict=True):
+            larger = (sizes[i:j] > size) | (sizes[i:j] == size) & (comps[i:j] > comp)
+            y, first, shared = np.unique(ids[i:j][larger], return_index=True, return_counts=True)
+            m = ns[i:j][larger][first]
+            good = (np.minimum(m, n) >= SIMILARITY * np.maximum(m, n) - 1e-9) & (shared >= np.minimum(SHARED, np.maximum(m, n)))
+            y, shared = y[good], shared[good]
+            ones.append(np.full(len(y), x))
+            others.append(y)
+            firsts.append(np.arange(len(y)) == (shared.argmax() if len(y) else 0))
+        x, y = np.concatenate(ones), np.concatenate(others)
+        yield pa.RecordBatch.from_arrays([pa.array(np.minimum(x, y)), pa.array(np.maximum(x, y)), pa.array(np.concatenate(firsts))], names=["a", "b", "best"])
+    trim_memory()
 
 
-def meetings(rare: DataFrame, labels: DataFrame, most: int | None = None) -> DataFrame:
-    """The pairs (a, b) of different components among texts (id, n, rare) that may reach the threshold.
+def meetings(rare: DataFrame, labels: DataFrame) -> DataFrame:
+    """The pairs (a, b, best) of different components among texts (id, n, rare) that may reach the threshold; the best ones first join components.
 
     A word's texts are gathered in parts, and asked for by those of all its components but the largest.
     """
     placed = cut(rare.join(labels, "id", "left").withColumn("component", F.coalesce("component", "id")), "placed")
     sizes = placed.groupBy("component").agg(F.count("*").alias("size"))
     placed = cut(join_groups(placed, sizes, "component").repartition("id"), "placed")
-    rows = placed.select("id", "n", "size", "component", F.explode("rare").alias("word"))
-    of = F.struct("size", "component")
-    words = cut(rows.groupBy("word").agg(F.max(of).alias("top"), F.min(of).alias("low")).filter("low < top").drop("low"), "words")
-    asking = rows.join(words, "word").filter(of < F.col("top")).select("word", "id", "n", "size", "component")
-    there = rows.join(words, "word", "left_semi").groupBy("word", F.pmod(F.xxhash64("id"), F.lit(PARTS)).alias("part")).agg(F.collect_list(F.struct("id", "n", "size", "component")).alias("met"))
-    met = cut(asking, "asking").join(cut(there, "there"), "word").groupBy("id", "n", "size", "component", "part").agg(F.flatten(F.collect_list("met")).alias("met"))
-    return met.select("id", "n", "size", "component", "met").mapInArrow(_meeting(most), "a long, b long")
+    rows = cut(placed.select("id", "n", "size", "component", F.explode("rare").alias("word")), "rows")
+    of, parts = F.struct("size", "component"), min(placed.count() // PART_TEXTS + 1, PARTS)
+    there = rows.groupBy("word", F.pmod(F.xxhash64("id"), F.lit(parts)).alias("part")).agg(F.max(of).alias("top"), F.min(of).alias("low"), F.collect_list(F.struct("id", "n", "size", "component")).alias("met"))
+    there = there if parts > 1 else there.filter("low < top")
+    met = rows.join(cut(there.drop("low"), "there"), "word").filter(of < F.col("top")).groupBy("id", "n", "size", "component", "part").agg(F.flatten(F.collect_list("met")).alias("met"))
+    return met.select("id", "n", "size", "component", "met").mapInArrow(_meeting, "a long, b long, best boolean")
 
 
 def edits_within(a: np.ndarray, b: np.ndarray, most: int) -> int | None:
@@ -418,6 +500,12 @@ def _pair(a: Column, b: Column) -> list[Column]:
     return [F.least(a, b).alias("a"), F.greatest(a, b).alias("b")]
 
 
+def _apart(pairs: DataFrame, labels: DataFrame) -> DataFrame:
+    """The pairs (a, b) whose ends lie in different components."""
+    one, two = (labels.select(F.col("id").alias(x), F.col("component").alias(f"c{x}")) for x in "ab")
+    return pairs.join(one, "a", "left").join(two, "b", "left").filter("coalesce(ca, a) <> coalesce(cb, b)").select("a", "b")
+
+
 def _within(rows: DataFrame) -> DataFrame:
     """All pairs of different components within buckets of at most ``PAIRWISE`` members."""
     groups = rows.groupBy("key").agg(F.sort_array(F.collect_set(F.struct("id", "n", "component"))).alias("x"))
@@ -470,9 +558,11 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     drop_cut(left)
     drop_cut(shared)
     if again.limit(1).count():
-        rare = rare_words(cut(texts.join(again, "id", "left_semi"), "large"))
-        for most in (1, None):
-            more(meetings(rare, labels, most))
+        large = texts.join(again, "id", "left_semi").join(labels, "id", "left")
+        large = plausible(cut(large.select("id", "words", F.coalesce("component", "id").alias("component")), "large"))
+        met = cut(meetings(rare_words(large), labels), "met")
+        more(met.filter("best").select("a", "b"))
+        more(_apart(met.filter("not best").select("a", "b"), labels))
     ends = links.select(F.explode(F.array("a", "b")).alias("id")).groupBy("id").agg(F.count("*").alias("n_links"))
     found = labels.join(ends, "id", "left").select(F.col("id").alias("rep"), "component", "n_links")
     out = join_groups(classes.select("doc_id", "rep"), found, "rep")

@@ -422,6 +422,36 @@ def test_meetings_lose_no_near_copies(spark):
     assert not near_dedup.meetings(rare, one).count()
 
 
+def test_texts_that_only_share_a_passage_meet_no_others(spark):
+    """Those without enough pairs of words in other components are put aside; no near copy is, of few words or many."""
+    import numpy as np
+
+    r, passage, texts = random.Random(7), [10**6 + k for k in range(40)], {}
+    for i in range(60):
+        texts[i] = [r.randrange(10**5) for _ in range(80)] + passage
+    for i in range(1, 40):
+        texts[1000 + i] = [r.randrange(5000) for _ in range(i)]
+        near = list(texts[1000 + i])
+        for _ in range(i // 5):
+            at = r.randrange(len(near) + 1)
+            near[at : at + r.randint(0, 1)] = [r.randrange(5000) for _ in range(r.randint(0, 1))]
+        texts[2000 + i] = near or [1]
+    rows = spark.createDataFrame([(i, w, i) for i, w in texts.items()], "id long, words array<int>, component long")
+    left = near_dedup.plausible(rows)
+    words = {i: np.array(w, np.int32) for i, w in texts.items()}
+    near = {(i, i + 1000) for i in words if 1000 <= i < 2000 and near_dedup.similar(words[i], words[i + 1000])}
+    got = {x.id for x in left.collect()}
+    assert len(near) > 25 and got >= {i for pair in near for i in pair} and not any(i < 60 for i in got)
+    alone = spark.createDataFrame([], "id long, component long")
+    pairs = near_dedup.meetings(near_dedup.rare_words(left), alone).collect()
+    assert near <= {(p.a, p.b) for p in pairs}
+    # What tells few texts apart asks for few rows: one for each rare word that another text has, too.
+    assert near_dedup.rare_words(rows.filter("id < 60")).agg({"n": "count"}).first()[0] == 60
+    assert sum(len(x.rare) for x in near_dedup.rare_words(rows.filter("id < 60")).collect()) < 600
+    one = rows.withColumn("component", F.lit(0).cast("long"))
+    assert not near_dedup.plausible(one).count()
+
+
 def test_near_duplicates_match_brute_force(spark):
     base, short = prose(40, 300), prose(41, 14)
     rows = [(i, edited(base, i, i % 7)) for i in range(2, 60)] + [(100, base), (101, base), (102, base)]
