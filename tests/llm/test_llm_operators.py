@@ -619,6 +619,14 @@ def test_blocks_are_passed_over_without_losing_neighbours(monkeypatch):
         assert index.ids[at].tolist() == want.tolist() and np.allclose(cosine, every[want])
 
 
+def test_toxicity_words_are_those_of_the_pattern():
+    texts = ["".join(map(chr, range(128))), "Don't_stop 42\x1c\x1f\x0b\tEND", "\x00a\x85b", "Été İstanbul ß\u2028x", "", None, " .,"]
+    texts += [f"a{chr(i)}B" for i in range(0x3000)]
+    for text in texts:
+        assert toxicity.words(text) == re.findall(r"\w+", (text or "").lower())
+    assert toxicity._ASCII[ord("A")] == ord("a") and toxicity._ASCII[ord("-")] == ord(" ")
+
+
 def test_toxicity_on_odd_tables(spark):
     docs, labels, _ = labelled_docs(spark, 150)
     index = toxicity.train(docs, labels)
